@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contaminated_words, contamination
 from .exact_dedup import exact_groups
 from .sharding import interleaved_shards
 
@@ -16,11 +17,15 @@ def op5_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved_shards(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_words(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_interleaved_shards, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op5_interleaved_shards, op8_decontamination, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": """
