@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contaminated_words, contamination
 from .exact_dedup import exact_groups
+from .packing import packed
 from .sharding import interleaved_shards
 
 
@@ -13,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved_shards(table(spark, sf_dir, "documents"))
 
@@ -25,7 +32,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_interleaved_shards, op8_decontamination, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_mixture_packing, op5_interleaved_shards, op8_decontamination, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import before
+from .shared import before, phase
 
 BUCKETS = 4096  # fixed at every size; a hot source or fraction is spread over them
 SEED = 20240611
@@ -16,8 +16,9 @@ def interleaved_shards(
 ) -> DataFrame:
     """Shard and slot of each row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard, source``.
 
-    Within each source, rows are put in a seeded random order; a row's fractional rank is (rank + 1/2) / rows of
-    the source. Sorted by fractional rank, every stretch of the table holds each source in proportion, so equal
+    Within each source, rows are put in a seeded random order; a row's fractional rank is (rank + u) / rows of
+    the source, u being a seeded number between 0 and 1 for the source, so that many small sources don't meet at
+    one fraction. Sorted by fractional rank, every stretch of the table holds each source in proportion, so equal
     cuts give shards that match the mixture. The law is ``rows``: shard sizes differ by one row at most.
 
     Ranks come from :func:`before`: rows are dealt by (source, hash bucket) and then by fraction bucket, and
@@ -40,7 +41,7 @@ def interleaved_shards(
     rows = rows.withColumn("_bucket", F.shiftrightunsigned(F.col("_hash"), 52).bitwiseXOR(F.lit(2048)).cast("long"))
     tie = ["_hash", "doc_id", "size", "text_crc32"]
     ranked = before(rows, ["_from"], "_bucket", tie, "_one", "_rank", "_of")
-    ranked = ranked.withColumn("_part", (F.col("_rank") + 0.5) / F.col("_of"))
+    ranked = ranked.withColumn("_part", (F.col("_rank") + phase(F.col("_from"))) / F.col("_of"))
     ranked = ranked.withColumn("_bucket", F.least(F.floor(F.col("_part") * BUCKETS), F.lit(BUCKETS - 1)).cast("long"))
     placed = before(ranked, [], "_bucket", ["_part", "_from", *tie], "_one", "_at", "_all")
     shard = F.expr(f"_at * {shards} div _all")

@@ -42,6 +42,11 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
+def phase(column: Column) -> Column:
+    """A seeded number between 0 and 1, exclusive, for each value."""
+    return (F.pmod(F.xxhash64(F.lit(3), column), F.lit(1 << 20)) + 0.5) / (1 << 20)
+
+
 def before(df: DataFrame, group: list[str], bucket: str, order: list, weight: str, out: str, totals: str) -> DataFrame:
     """Adds ``out``, the sum of ``weight`` over the rows of the same ``group`` that precede a row, and
     ``totals``, the sum over its whole group.
