@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contaminated_words, contamination
 from .exact_dedup import exact_groups
+from .language_id import train_and_predict
 from .packing import packed
 from .sharding import interleaved_shards
 
@@ -20,6 +21,10 @@ def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train_and_predict(table(spark, sf_dir, "documents"))
+
+
 def op5_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved_shards(table(spark, sf_dir, "documents"))
 
@@ -32,7 +37,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixture_packing, op5_interleaved_shards, op8_decontamination, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_mixture_packing, op4_language_codes, op5_interleaved_shards, op8_decontamination, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": """
