@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower
+from .shared import ascii_lower, staged
 
 SALTS = 16
 
@@ -25,7 +25,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The winner goes back to its members by digest. Only groups of two or more take part in that join, and they
     are repeated for each salt, so a hot group's members spread over ``salts`` keys. Should two different texts
-    ever share a digest, the digest's rows are matched on their text instead.
+    ever share a digest, the digest's rows are matched on their text instead. The winners, a row without text for
+    each digest, are staged in the shared folder.
 
     Nulls: a null text counts as empty. A null id never wins over another id; a group without any id has a null
     ``keep_id`` and stays. Rows that repeat both id and text are one document: they are kept or dropped
@@ -40,18 +41,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     whole = salted.groupBy("text_sha256", "_norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     # one row for each digest; _texts > 1 is a digest shared by different texts
-    winners = whole.groupBy("text_sha256").agg(
-        F.count(F.lit(1)).alias("_texts"), F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
+    winners = staged(
+        whole.groupBy("text_sha256").agg(
+            F.count(F.lit(1)).alias("_texts"), F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
+        ),
+        "winners",
     )
     groups = winners.filter("group_size > 1").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     members = rows.select("doc_id", "text_sha256", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("_salt"))
     joined = members.join(groups, ["text_sha256", "_salt"], "left")
     size = F.coalesce("group_size", F.lit(1)).cast("long")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    plain = joined.filter(F.coalesce("_texts", F.lit(1)) == 1).select(
+    plain = joined.filter(F.coalesce("_texts", F.lit(1)) == 1)
+    plain = plain.select(
         "doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256"
     )
     shared = winners.filter("_texts > 1").select("text_sha256")
+    if shared.isEmpty():
+        return plain
     own = whole.join(shared, "text_sha256", "left_semi")
     clash = rows.join(own, ["text_sha256", "_norm"]).select(
         "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"),
