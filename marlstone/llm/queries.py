@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import secrets
 from .decontaminate import contaminated_words, contamination
 from .exact_dedup import exact_groups
 from .language_id import train_and_predict
@@ -15,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.labelled_strings(spark))
+    return secrets.secret_counts(secrets.find_secrets(table(spark, sf_dir, "documents"), model))
+
+
 def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,7 +43,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixture_packing, op4_language_codes, op5_interleaved_shards, op8_decontamination, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mixture_packing, op4_language_codes, op5_interleaved_shards, op8_decontamination, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": """
