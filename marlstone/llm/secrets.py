@@ -66,7 +66,8 @@ def labelled_strings(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     number = F.lpad(F.pmod(F.xxhash64(F.lit("n"), "id"), F.lit(10**15)).cast("string"), 20, "4")
     ordinary = [
         F.concat_ws("_", *w), F.concat(w[0], *up[1:]), F.concat(*up), F.concat_ws("-", *w), F.upper(F.concat_ws("_", *w)), F.concat_ws("/", *w),
-        F.concat(*w), F.upper(F.concat(*w)), F.concat_ws("_", *w[:3], two), number, F.concat_ws("/", F.lit("20" + "24"), two, *w[:3]),
+        F.concat(*w), F.upper(F.concat(*w)), F.concat_ws("_", *w[:3], two), number, F.concat_ws("/", F.lit("2024"), two, *w[:3]),
+        F.repeat(F.element_at(F.split(F.lit(ALPHABET), ""), (F.pmod("id", F.lit(len(ALPHABET))) + 1).cast("int")), F.lit(24)),
     ]
     ids = spark.range(n)
     return ids.select(pick(forms, "r").alias("text"), F.lit(1).alias("label")).unionByName(ids.select(pick(ordinary, "o").alias("text"), F.lit(0).alias("label")))
