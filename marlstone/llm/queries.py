@@ -9,6 +9,7 @@ from .decontaminate import contaminated_words, contamination
 from .exact_dedup import exact_groups
 from .language_id import train_and_predict
 from .license_scan import license_labels, scan_licenses
+from .near_dedup import near_duplicates
 from .packing import packed
 from .sharding import interleaved_shards
 
@@ -44,11 +45,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_words(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mixture_packing, op4_language_codes, op5_interleaved_shards, op7_license_scan, op8_decontamination, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mixture_packing, op4_language_codes, op5_interleaved_shards, op7_license_scan, op8_decontamination, op9_near_dedup, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": """
