@@ -12,6 +12,7 @@ from .license_scan import license_labels, scan_licenses
 from .near_dedup import near_duplicates
 from .packing import packed
 from .sharding import interleaved_shards
+from .warc import archived_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,10 @@ def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train_and_predict(table(spark, sf_dir, "documents"))
 
@@ -53,7 +58,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mixture_packing, op4_language_codes, op5_interleaved_shards, op7_license_scan, op8_decontamination, op9_near_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mixture_packing, op3_warc_revisits, op4_language_codes, op5_interleaved_shards, op7_license_scan, op8_decontamination, op9_near_dedup, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": """
