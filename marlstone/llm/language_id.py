@@ -16,6 +16,7 @@ from .words import CHUNK_BYTES, LOWER, chunks, text_bytes
 ORDERS = (1, 2, 3)
 DIMENSIONS = 1 << 15
 ROWS_PER_LANGUAGE = 2000  # labelled rows that are learned from, for each language
+SALTS = 16
 MOST_LANGUAGES = 200  # with ROWS_PER_LANGUAGE it bounds the sample; more are an error
 AMBIGUOUS = 0.2  # between the scores of the best and the second language
 UNKNOWN = "und"
@@ -106,9 +107,13 @@ def train(
     One binary naive Bayes classifier for each bit of the code, on n-gram counts that are summed on Spark; its
     accuracy on each language's rows, from a second pass, weights its loss. None if no row is labelled.
     """
-    first = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(9), "id"), "id")
     ids = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).dropna()
-    ids = ids.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= rows_per_language).select("id").distinct()
+    ids = ids.withColumn("_hash", F.xxhash64(F.lit(9), "id"))
+    # a common language is thinned in SALTS tasks first
+    for keys in (["lang", F.pmod("_hash", F.lit(SALTS))], ["lang"]):
+        first = Window.partitionBy(*keys).orderBy("_hash", "id")
+        ids = ids.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= rows_per_language)
+    ids = ids.select("id").distinct()
     # bounded by rows_per_language * MOST_LANGUAGES ids
     sample = labelled.join(F.broadcast(ids), labelled[id_col] == ids["id"], "left_semi")
     sample = sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
