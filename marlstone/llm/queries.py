@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import secrets
 from .decontaminate import contaminated_words, contamination
 from .exact_dedup import exact_groups
+from .kneser_ney import quality
 from .language_id import train_and_predict
 from .license_scan import license_labels, scan_licenses
 from .near_dedup import near_duplicates
@@ -42,6 +43,11 @@ def op5_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved_shards(table(spark, sf_dir, "documents"))
 
 
+def op6_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return quality(table(spark, sf_dir, "documents"), trusted)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_labels(scan_licenses(table(spark, sf_dir, "documents")))
 
@@ -58,7 +64,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mixture_packing, op3_warc_revisits, op4_language_codes, op5_interleaved_shards, op7_license_scan, op8_decontamination, op9_near_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mixture_packing, op3_warc_revisits, op4_language_codes, op5_interleaved_shards, op6_kneser_ney_quality, op7_license_scan, op8_decontamination, op9_near_dedup, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": """
