@@ -177,21 +177,44 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        names = np.array([*(model.languages if model else []), UNKNOWN], object)
         for batch in batches:
             for lo, hi in _parts(batch.column(1)):
-                n = hi - lo
-                best, score, unsure = np.full(n, len(names) - 1), np.zeros(n), np.zeros(n, bool)
-                if model:
-                    counts, letters = features(batch.column(1).slice(lo, n), model.weights.shape[0])
-                    found, first, second = decode(margins(counts, model.weights), model)
-                    best, score, unsure = np.where(letters, found, best), np.where(letters, first, 0), letters & (first - second < ambiguous)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(unsure)], ["doc_id", "lang_pred", "score", "ambiguous"])
+                names, score, unsure = _judged(batch.column(1).slice(lo, hi - lo), shared.value, ambiguous)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(unsure)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
+def _judged(texts: pa.Array, model: Model | None, ambiguous: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(texts)
+    names = np.array([*(model.languages if model else []), UNKNOWN], object)
+    best, score, unsure = np.full(n, len(names) - 1), np.zeros(n), np.zeros(n, bool)
+    if model:
+        counts, letters = features(texts, model.weights.shape[0])
+        found, first, second = decode(margins(counts, model.weights), model)
+        best, score, unsure = np.where(letters, found, best), np.where(letters, first, 0), letters & (first - second < ambiguous)
+    return names[best], score, unsure
+
+
+def rows_with_language(docs: DataFrame, model: Model | None, text_col: str = "text", ambiguous: float = AMBIGUOUS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is told without ambiguity. Rows are filtered where they are
+    read; without a model none is told."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in _parts(batch.column(at)):
+                names, _, unsure = _judged(batch.column(at).slice(lo, hi - lo), shared.value, ambiguous)
+                yield batch.slice(lo, hi - lo).filter(pa.array((names != UNKNOWN) & ~unsure))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def known_labels(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows to learn from: those with an id that aren't :func:`held_out`."""
+    return docs.filter(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+
+
 def held_out(column: Column) -> Column:
     """Whether a row is left for measuring: a fifth, by the CRC-32 of its id as text. False for a null id."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -200,6 +223,6 @@ def held_out(column: Column) -> Column:
 def train_and_predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """:func:`predict` for all of ``docs``, learned from their rows that have an id and a language and aren't
     :func:`held_out`: ``doc_id, held_out, lang_pred, score, ambiguous``. An empty table gives no rows."""
-    model = train(docs.filter(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))), id_col, text_col, lang_col)
+    model = train(known_labels(docs, id_col), id_col, text_col, lang_col)
     found = predict(docs, model, id_col, text_col)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
