@@ -25,7 +25,7 @@ def decode_base62(text: Column) -> Column:
     """The long that a Base62 string stands for; an error for other characters, null for null."""
     valid = F.when(text.rlike("^[0-9A-Za-z]+$") | text.isNull(), text).otherwise(F.raise_error(F.concat(F.lit("not Base62: "), text)).cast("string"))
     digits = F.split(valid, "")
-    return F.aggregate(F.filter(digits, lambda d: d != ""), F.lit(0).cast("long"), lambda a, d: a * 62 + F.position(d, F.lit(ALPHABET)).cast("long") - 1)
+    return F.aggregate(F.filter(digits, lambda d: d != ""), F.lit(0).cast("long"), lambda a, d: a * 62 + (F.position(d, F.lit(ALPHABET)).cast("long") - 1))
 
 
 def short_key(millis: Column, counter: Column, process: int = 4242, salt: Column | None = None) -> Column:
