@@ -11,16 +11,12 @@ from marlstone.llm.exact_dedup import drop_exact_copies
 from marlstone.llm.language_id import known_labels, rows_with_language, train
 from marlstone.llm.near_dedup import near_duplicates
 from marlstone.llm.packing import packed
-from marlstone.llm.shared import staged
+from marlstone.llm.shared import staged, without
 
 TOKENIZER = "word_bpe_49k.json"
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go, and those whose language is ambiguous."""
     return rows_with_language(docs, train(known_labels(docs)))
@@ -33,13 +29,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the one with the least id stays."""
-    return _without(docs, near_duplicates(docs).filter(~F.col("kept")))
+    return without(docs, near_duplicates(docs).filter(~F.col("kept")), "doc_id")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item's window go."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=0)
-    return _without(docs, found.filter(F.size("hits") > 0))
+    return without(docs, found.filter(F.size("hits") > 0), "doc_id")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, staged
+from .shared import ascii_lower, staged, unused, without
 
 SALTS = 16
 
@@ -70,12 +70,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that :func:`exact_groups` keeps; of rows that repeat id and text, one."""
     groups = staged(exact_groups(docs, id_col, text_col), "groups")
-    out = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(out, F.col(id_col) == F.col("_gone"), "left_anti")
-    again = groups.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id", "text_sha256").count().filter("count > 1").select(F.col("doc_id").alias("_again")).distinct()
+    left = without(docs, groups.filter(~F.col("kept")), id_col)
+    again = groups.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id", "text_sha256").count().filter("count > 1").select("doc_id")
     if again.isEmpty():
         return left
-    once = left.join(again, F.col(id_col) == F.col("_again"), "left_anti")
-    twice = left.join(again, F.col(id_col) == F.col("_again"), "left_semi")
-    norm = twice.withColumn("_norm", ascii_lower(F.coalesce(F.col(text_col), F.lit(""))))
-    return once.unionByName(norm.dropDuplicates([id_col, "_norm"]).drop("_norm"))
+    once, norm = without(left, again, id_col), unused(docs, "norm")
+    ids = again.distinct()
+    twice = left.join(ids, left[id_col] == ids["doc_id"], "left_semi").withColumn(norm, ascii_lower(F.coalesce(F.col(text_col), F.lit(""))))
+    return once.unionByName(twice.dropDuplicates([id_col, norm]).drop(norm))

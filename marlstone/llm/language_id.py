@@ -131,7 +131,7 @@ def train(
                     held[lang] = held.get(lang, 0) + own
         for lang, own in held.items():
             at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(np.round(own[at] * 1000), pa.float64()).cast(pa.int64())], ["lang", "feature", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(np.round(own[at] * 1000), pa.float64()).cast(pa.int64())], ["lang", "feature", "n"])
 
     summed = sample.mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     rows = summed.toPandas()  # languages x dimensions rows at most
@@ -154,7 +154,8 @@ def train(
         for batch in batches:
             for lo, hi in _parts(batch.column(1)):
                 counts, _ = features(batch.column(1).slice(lo, hi - lo), dimensions)
-                lang = np.array([place[x] for x in batch.column(0).slice(lo, hi - lo).to_pylist()])
+                lang = np.array([place.get(x, -1) for x in batch.column(0).slice(lo, hi - lo).to_pylist()])
+                counts, lang = counts[lang >= 0], lang[lang >= 0]  # texts without n-grams may be all of a language
                 np.add.at(right, lang, margins(counts, shared.value.weights) * shared.value.code[lang] > 0)
                 np.add.at(seen, lang, 1)
         k, b = np.indices(right.shape)

@@ -50,7 +50,8 @@ class MarkovRatio:
 
 def labelled_strings(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     """``text, label``: ``n`` random strings (1: digests and keys in hexadecimal, base 64 and base 62) and ``n``
-    ordinary ones (0: identifiers in several styles, paths, words run together, long numbers, one character repeated)."""
+    ordinary ones (0: identifiers in several styles, paths, words run together, long numbers), with four runs of each
+    character."""
     i = F.col("id").cast("string")
     digest = F.sha2(F.concat(F.lit("k"), i), 512)
     b64 = F.base64(F.unhex(digest))
@@ -67,10 +68,10 @@ def labelled_strings(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     ordinary = [
         F.concat_ws("_", *w), F.concat(w[0], *up[1:]), F.concat(*up), F.concat_ws("-", *w), F.upper(F.concat_ws("_", *w)), F.concat_ws("/", *w),
         F.concat(*w), F.upper(F.concat(*w)), F.concat_ws("_", *w[:3], two), number, F.concat_ws("/", F.lit("2024"), two, *w[:3]),
-        F.repeat(F.element_at(F.split(F.lit(ALPHABET), ""), (F.pmod("id", F.lit(len(ALPHABET))) + 1).cast("int")), F.lit(24)),
     ]
     ids = spark.range(n)
-    return ids.select(pick(forms, "r").alias("text"), F.lit(1).alias("label")).unionByName(ids.select(pick(ordinary, "o").alias("text"), F.lit(0).alias("label")))
+    each = spark.range(4 * len(ALPHABET)).select(F.repeat(F.element_at(F.split(F.lit(ALPHABET), ""), (F.pmod("id", F.lit(len(ALPHABET))) + 1).cast("int")), F.lit(30)).alias("text"), F.lit(0).alias("label"))
+    return each.unionByName(ids.select(pick(forms, "r").alias("text"), F.lit(1).alias("label"))).unionByName(ids.select(pick(ordinary, "o").alias("text"), F.lit(0).alias("label")))
 
 
 def train(samples: DataFrame, text_col: str = "text", label_col: str = "label", smoothing: float = 0.5) -> MarkovRatio:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+BITMAP = 1 << 21
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +41,46 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without(df: DataFrame, ids: DataFrame, id_col: str, other: str = "doc_id") -> DataFrame:
+    """The rows of ``df``, all columns, whose id isn't among ``ids``; rows of null id stay."""
+    gone = ids.select(F.col(other).alias("gone")).distinct()
+    return df.join(gone, df[id_col] == gone["gone"], "left_anti")
+
+
+def bitmap_of(ids: DataFrame, name: str, bits: int = BITMAP) -> np.ndarray:
+    """A packed bitmap of ``bits`` hashed ids, whatever their number."""
+    found = ids.select(F.pmod(F.xxhash64(name), F.lit(bits)).cast("int").alias("bit")).distinct().toArrow()["bit"].to_numpy()
+    marks = np.zeros(bits, bool)
+    marks[found] = True
+    return np.packbits(marks)
+
+
+def among(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, more: list[Column], bits: int = BITMAP) -> DataFrame:
+    """``id``, ``text`` and ``more`` of the rows of ``df`` whose id is in ``ids`` (``id``, long, distinct).
+
+    A bitmap of fixed size drops most other rows where they are read; a join by id settles the rest, so that only
+    texts that are likely to be wanted are shuffled, at any size.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(bitmap_of(ids, "id", bits))
+    rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more)
+    rows = rows.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(bits)).cast("int"))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(marks[batch.column(batch.num_columns - 1).to_numpy()]))
+
+    return rows.mapInArrow(likely, rows.schema).drop("bit").join(ids.hint("merge"), "id", "left_semi")
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(column, UPPER, LOWER)
