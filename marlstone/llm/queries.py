@@ -53,7 +53,8 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated_words(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated_words(found).drop("n_near_items")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +67,44 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mixture_packing, op3_warc_revisits, op4_language_codes, op5_interleaved_shards, op6_kneser_ney_quality, op7_license_scan, op8_decontamination, op9_near_dedup, op10_exact_dedup)}
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(sha1(h), {5 * k + 1}, 5) AS INTEGER) >> {shift}) & 31) + 1, 1)" for k in range(8) for shift in (15, 10, 5, 0)
+)
+
 ORACLE_SQL = {
-    "op10_exact_dedup": """
-        WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
+    "op3_warc_revisits": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        m AS (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS best FROM p)
+        SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < best THEN best END AS refers_to
+        FROM m
+    """,
+    "op8_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        win AS (
+            SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS key
+            FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+        ),
+        sizes AS (SELECT DISTINCT n FROM win),
+        seen AS (
+            SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS key
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN sizes)
+        ),
+        hits AS (SELECT s.doc_id, s.i, s.n, win.item_id FROM seen s JOIN win ON s.n = win.n AND s.key = win.key),
+        places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+        items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+    "op10_exact_dedup": f"""
+        WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM t
