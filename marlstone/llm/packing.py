@@ -11,14 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import before, phase, staged
+from .shared import before, hash_bucket, phase, share_bucket, staged
 from .words import LOWER, chunks, text_bytes
 
 WINDOW = 4096
 QUANTUM = 256
 END = 2
-BUCKETS = 4096
-CACHED_WORDS = 600_000  # of a worker; later words are encoded anew each time
+CHUNK_BYTES = 4 << 20  # of text tokenised at once
+CACHED_WORDS = 500_000  # of a worker; later words are encoded anew each time
 _tokenizers: dict[str, Words] = {}
 _GAP = "\x01"  # stands alone between encoded words: one piece, one id
 _TAIL = ".,!?;:"
@@ -117,7 +117,7 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(path)
         for batch in batches:
-            for lo, hi in chunks(batch.column(2), 8 << 20):
+            for lo, hi in chunks(batch.column(2), CHUNK_BYTES):
                 ids = words.encode(batch.column(2).slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo),
@@ -159,7 +159,7 @@ def packed(
     queue = tokens.select(
         "row", "doc_id", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")).alias("_from"), "source", "doc_tokens",
         F.xxhash64(F.lit(11), "doc_id").alias("_hash"),
-    ).withColumn("_bucket", F.shiftrightunsigned("_hash", 52).bitwiseXOR(F.lit(2048)).cast("long"))
+    ).withColumn("_bucket", hash_bucket(F.col("_hash")))
     queue = before(queue, ["_from"], "_bucket", ["_hash", "doc_id", "row"], "doc_tokens", "_first", "_total")
     share = F.col("_total").cast("double")
     if shares:
@@ -174,7 +174,7 @@ def packed(
         ((F.col("_quantum") * quantum + phase(F.col("_from")) * whole) / F.col("_share")).alias("_due"), "_first",
     )
     latest = (cut.agg(F.max("_due")).first()[0] or 1.0) if shares else 1.0
-    cut = cut.withColumn("_bucket", F.least(F.floor(F.col("_due") / (latest / BUCKETS)), F.lit(BUCKETS - 1)).cast("long"))
+    cut = cut.withColumn("_bucket", share_bucket(F.col("_due") / latest))
     placed = before(cut, [], "_bucket", ["_due", "_from", "_quantum", "_first", "start"], "length", "_at", "_all")
     sequences = F.sequence(F.expr(f"_at div {window}"), F.expr(f"(_at + length - 1) div {window}"))
     placed = placed.withColumn("sequence_id", F.explode(sequences))

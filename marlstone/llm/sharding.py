@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import before, phase
+from .shared import before, hash_bucket, phase, share_bucket
 
-BUCKETS = 4096  # fixed at every size; a hot source or fraction is spread over them
 SEED = 20240611
 
 
@@ -37,12 +36,11 @@ def interleaved_shards(
         F.xxhash64(F.lit(seed), F.col(id_col)).alias("_hash"),
         F.lit(1).cast("long").alias("_one"),
     )
-    # signed hashes: the sign bit is turned, so that buckets rise with the hash
-    rows = rows.withColumn("_bucket", F.shiftrightunsigned(F.col("_hash"), 52).bitwiseXOR(F.lit(2048)).cast("long"))
+    rows = rows.withColumn("_bucket", hash_bucket(F.col("_hash")))
     tie = ["_hash", "doc_id", "size", "text_crc32"]
     ranked = before(rows, ["_from"], "_bucket", tie, "_one", "_rank", "_of")
     ranked = ranked.withColumn("_part", (F.col("_rank") + phase(F.col("_from"))) / F.col("_of"))
-    ranked = ranked.withColumn("_bucket", F.least(F.floor(F.col("_part") * BUCKETS), F.lit(BUCKETS - 1)).cast("long"))
+    ranked = ranked.withColumn("_bucket", share_bucket(F.col("_part")))
     placed = before(ranked, [], "_bucket", ["_part", "_from", *tie], "_one", "_at", "_all")
     shard = F.expr(f"_at * {shards} div _all")
     return placed.withColumn("_shard", shard).select(

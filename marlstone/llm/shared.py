@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 BITMAP = 1 << 21
+BUCKET_BITS = 14
+BUCKETS = 1 << BUCKET_BITS  # that running totals are spread over, at any size
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -91,6 +93,17 @@ def phase(column: Column) -> Column:
     return (F.pmod(F.xxhash64(F.lit(3), column), F.lit(1 << 20)) + 0.5) / (1 << 20)
 
 
+def hash_bucket(column: Column) -> Column:
+    """The bucket of a 64-bit hash, 0 to ``BUCKETS`` - 1, rising with the signed hash."""
+    top = F.shiftrightunsigned(column, 64 - BUCKET_BITS)
+    return top.bitwiseXOR(F.lit(BUCKETS // 2)).cast("long")
+
+
+def share_bucket(column: Column) -> Column:
+    """The bucket of a number from 0 to 1, rising with it."""
+    return F.least(F.floor(column * BUCKETS), F.lit(BUCKETS - 1)).cast("long")
+
+
 def before(df: DataFrame, group: list[str], bucket: str, order: list, weight: str, out: str, totals: str) -> DataFrame:
     """Adds ``out``, the sum of ``weight`` over the rows of the same ``group`` that precede a row, and
     ``totals``, the sum over its whole group.
