@@ -9,14 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import BITMAP, bitmap_of, staged
 from .words import Words, chunks, find_words, mixed, run_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 3  # a pair at the threshold meets in a band with probability 0.9998
 BUCKETS = 1 << 18  # of hashed document frequencies
-BITMAP = 1 << 21  # of ids that need their shingles
+PIVOTS = 6  # of a bucket, before texts are compared with all that may be alike
+COUNTERS = 1 << 20  # for the order of shingles from rare to frequent
 
 
 def shingles(words: Words, length: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,11 +140,7 @@ def shingle_vectors(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: s
 
     A bitmap of fixed size tells tasks which texts may be wanted; the join by id settles it.
     """
-    spark = docs.sparkSession
-    bits = wanted.select(F.pmod(F.xxhash64("id"), F.lit(bitmap)).cast("int").alias("bit")).distinct().toArrow()["bit"].to_numpy()
-    marks = np.zeros(bitmap, bool)
-    marks[bits] = True
-    shared = spark.sparkContext.broadcast(np.packbits(marks))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "id", bitmap))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = np.unpackbits(shared.value).astype(bool)
@@ -191,6 +188,68 @@ def similarities(pairs: DataFrame, vectors: DataFrame, idf) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long, similarity double")
 
 
+def _hashed_counts(vectors: DataFrame, counters: int) -> np.ndarray:
+    """In how many of ``vectors`` a shingle of each of ``counters`` classes occurs."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(counters, np.int64)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                np.add.at(seen, _bucket(np.frombuffer(batch.column(0)[k].as_buffer(), np.uint64), counters), 1)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at])], ["bucket", "n"])
+
+    counted = vectors.select("keys").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(counters, np.int32)
+    out[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    return out
+
+
+def prefix_pairs(vectors: DataFrame, few: DataFrame, idf, threshold: float, counters: int = COUNTERS) -> DataFrame:
+    """``a, b``: all pairs of a text in ``few`` and one of ``vectors`` of another class (``root``) that may reach
+    ``threshold``.
+
+    Prefix filtering, exact under any order of shingles. If two texts of total weights V and W reach threshold t,
+    their common weight is at least t (V + W) / (1 + t). So in an order from rare to frequent, both have that
+    much weight left at the first shingle they share: texts meet on a shingle only where each has enough left.
+    The texts in ``few`` come with each class of total weight that a partner may have; a text whose own edits
+    weigh too much for a class doesn't meet it on what a group has in common, however large the group is.
+    """
+    rare = vectors.sparkSession.sparkContext.broadcast(_hashed_counts(vectors, counters))
+    part, step = threshold / (1 + threshold), 0.03
+    reach = int(np.ceil(np.log(1 / threshold) / step)) + 1
+
+    def tokens(spread: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weight = idf.value
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    keys = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint64)
+                    counts = batch.column(2)[i].as_buffer()
+                    w = weight[_bucket(keys, len(weight))].astype(np.float64) * (np.frombuffer(counts, np.uint32) if len(counts) else 1)
+                    total = w.sum()
+                    order = np.lexsort((keys, rare.value[_bucket(keys, len(rare.value))]))
+                    left = total - np.concatenate(([0.0], np.cumsum(w[order])[:-1]))
+                    own = int(np.floor(np.log(total) / step))
+                    bins = np.arange(own - reach, own + reach + 1) if spread else np.array([own])
+                    least = part * (total + (np.exp(bins * step) if spread else np.array([threshold * total])))
+                    at, which = np.nonzero(left[:, None] >= least[None, :] * (1 - 1e-9))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(keys[order][at].astype(np.int64)), pa.array(bins[which], pa.int32()), pa.array(np.full(len(at), batch.column(0)[i].as_py()), pa.int64()),
+                        pa.array(np.full(len(at), total)), pa.array(left[at]), pa.array(np.full(len(at), batch.column(3)[i].as_py()), pa.int64()),
+                    ], ["key", "bin", "id", "total", "left", "root"])
+
+        return run
+
+    schema = "key long, bin int, id long, total double, left double, root long"
+    all_ = vectors.select("id", "keys", "counts", "root").mapInArrow(tokens(False), schema)
+    some = vectors.join(few, "id", "left_semi").select("id", "keys", "counts", "root").mapInArrow(tokens(True), schema)
+    x, y = all_.alias("x"), some.alias("y")
+    need = part * (F.col("x.total") + F.col("y.total")) * (1 - 1e-9)
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.bin") == F.col("y.bin")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.left", "y.left") >= need)
+    return x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``id, root``: the least id of each linked id's component, by alternating large and small stars, each a
     grouped minimum and a join. Every step is staged in the shared folder."""
@@ -219,13 +278,15 @@ def near_duplicates(
 
     1. Document frequencies of all rows, hashed to a fixed number of classes, give the weights.
     2. Each text gets ``bands`` hashes of ``rows`` weighted samples. Texts of the same words are one from here on.
-    3. In each band's bucket, members are compared with a pivot; those that aren't linked to it are compared with
-       pivots of their own, four times as many in each round, until none is left. So a bucket of one class costs
-       a comparison for each member, and the work is quadratic only in texts of a bucket that aren't alike.
+    3. In each band's bucket, members are compared with a pivot, the one that meets most texts in all bands; those
+       that aren't of its class then are compared with the next ``PIVOTS - 1`` ones. Who still isn't is compared
+       with every text of another class that may reach the threshold, which :func:`prefix_pairs` finds. So a
+       bucket of copies of one text costs a few comparisons for each member, and pairs are sought one by one
+       only between classes.
     4. Candidate pairs get the exact similarity from both texts' shingles; links are joined to components.
 
-    Shuffled are ids, hashes and candidate texts' shingles, never texts; the driver gets the hashed frequencies
-    and a bitmap, both of fixed size, and counts. Staged tables are in the shared folder.
+    Shuffled are ids, hashes and candidate texts' shingles, never texts; the driver gets hashed frequencies and
+    a bitmap, all of fixed size, and counts. Staged tables are in the shared folder.
 
     A null id has a null class and stays. A null text or one without words is alone in its class, as is one of
     fewer words than ``shingle`` unless another has the same words. Rows that repeat id and text share a class,
@@ -237,31 +298,37 @@ def near_duplicates(
     texts = signed.filter("d1 IS NOT NULL AND doc_id IS NOT NULL")
     distinct = staged(texts.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "texts")
     entries = distinct.select("id", F.posexplode("bands").alias("band", "hash"))
-    sizes = entries.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    sizes = entries.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     entries = staged(entries.join(sizes, ["band", "hash"]), "entries")
-    vectors = staged(shingle_vectors(docs, entries.select("id").distinct(), id_col, text_col, shingle).dropDuplicates(["id"]), "vectors")
-    links, pivots = None, 1
-    while not entries.isEmpty():
-        order = F.xxhash64(F.lit(17), "id")
-        if pivots == 1:
-            chosen = entries.groupBy("band", "hash").agg(F.min(F.struct(order.alias("o"), F.col("id"))).alias("p")).select("band", "hash", F.col("p.id").alias("pivot"))
-        else:
-            ranked = entries.withColumn("_n", F.row_number().over(Window.partitionBy("band", "hash").orderBy(order, "id")))
-            chosen = ranked.filter(F.col("_n") <= pivots).select("band", "hash", F.col("id").alias("pivot"))
-        met = entries.join(chosen, ["band", "hash"])
-        pairs = met.filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        found = staged(similarities(pairs, vectors, idf).filter(F.col("similarity") >= threshold), "links")
-        links = found if links is None else links.unionByName(found)
-        ends = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = met.join(ends, (F.col("id") == F.col("a")) & (F.col("pivot") == F.col("b"))).select("band", "hash", "id")
-        done = near.unionByName(chosen.select("band", "hash", F.col("pivot").alias("id"))).distinct()
-        rest = entries.join(done, ["band", "hash", "id"], "left_anti")
-        again = rest.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        entries = staged(rest.join(again, ["band", "hash"]), "entries")
-        pivots *= 4
-    roots = distinct.select("d1", "d2", F.col("id").alias("class_id"))
-    if links is not None:
-        roots = distinct.select("d1", "d2", "id").join(components(links), "id", "left").select("d1", "d2", F.coalesce("root", "id").alias("class_id"))
+    met_most = entries.groupBy("id").agg(F.struct(F.sum("n").alias("met"), F.xxhash64(F.lit(17), "id").alias("tie"), "id").alias("rank"))
+    vectors = staged(shingle_vectors(docs, met_most.select("id"), id_col, text_col, shingle).dropDuplicates(["id"]), "vectors")
+    entries = staged(entries.join(met_most, "id").select("band", "hash", "id", "rank"), "ranked")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return staged(similarities(pairs, vectors, idf).filter(F.col("similarity") >= threshold), "links")
+
+    def classes(links: DataFrame) -> DataFrame:
+        return staged(components(links), "classes")
+
+    def classed(df: DataFrame, found: DataFrame, name: str, out: str) -> DataFrame:
+        return df.join(found.select(F.col("id").alias(name), F.col("root").alias(out)), name, "left").withColumn(out, F.coalesce(out, name))
+
+    best = entries.groupBy("band", "hash").agg(F.max("rank").alias("p")).select("band", "hash", F.col("p.id").alias("pivot"))
+    met = staged(entries.join(best, ["band", "hash"]).filter("id <> pivot").select("id", "pivot").distinct(), "met")
+    links = linked(met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
+    found = classes(links)
+    # those that aren't of their pivot's class yet meet the next pivots
+    place = F.row_number().over(Window.partitionBy("band", "hash").orderBy(F.desc("rank")))
+    next_ = entries.withColumn("_n", place).filter((F.col("_n") > 1) & (F.col("_n") <= PIVOTS)).select("band", "hash", F.col("id").alias("pivot"))
+    again = classed(classed(entries.join(next_, ["band", "hash"]).filter("id <> pivot").select("id", "pivot").distinct(), found, "id", "r1"), found, "pivot", "r2")
+    links = links.unionByName(linked(again.filter("r1 <> r2").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()))
+    found = classes(links)
+    # whoever isn't yet is compared with all that may be alike
+    rest = staged(classed(classed(met, found, "id", "r1"), found, "pivot", "r2").filter("r1 <> r2").select("id").distinct(), "rest")
+    if not rest.isEmpty():
+        links = links.unionByName(linked(prefix_pairs(classed(vectors, found, "id", "root"), rest, idf, threshold)))
+        found = classes(links)
+    roots = distinct.select("d1", "d2", "id").join(found, "id", "left").select("d1", "d2", F.coalesce("root", "id").alias("class_id"))
     grouped = signed.join(roots, ["d1", "d2"], "left")
     class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
     return grouped.select("doc_id", class_id.alias("class_id"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
