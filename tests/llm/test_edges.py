@@ -136,7 +136,7 @@ def test_languages(docs, none, clash):
     assert found[1].lang_pred == found[2].lang_pred == found[7].lang_pred == "und" and found[1].score == 0 and not found[None].held_out
     assert language_id.train_and_predict(none).count() == 0
     assert {r.lang_pred for r in language_id.train_and_predict(clash).collect()} == {"en"}
-    unlabelled = docs.drop("lang").withColumn("lang", docs.lang.substr(1, 0).cast("string")).replace("", None, "lang")
+    unlabelled = docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")
     assert {r.lang_pred for r in language_id.train_and_predict(unlabelled).collect()} == {"und"}
     kept = language_id.rows_with_language(clash, language_id.train(clash))
     assert kept.columns == clash.columns and kept.count() == 3
