@@ -17,6 +17,7 @@ ORDERS = (1, 2, 3)
 DIMENSIONS = 1 << 15
 ROWS_PER_LANGUAGE = 2000  # labelled rows that are learned from, for each language
 SALTS = 16
+TEXTS_AT_ONCE = 64  # whose counts, DIMENSIONS each, are held at a time
 MOST_LANGUAGES = 200  # with ROWS_PER_LANGUAGE it bounds the sample; more are an error
 AMBIGUOUS = 0.2  # between the scores of the best and the second language
 UNKNOWN = "und"
@@ -78,8 +79,8 @@ def features(texts: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
     for lo, hi in chunks(texts, CHUNK_BYTES):
-        for a in range(lo, hi, 256):
-            yield a, min(hi, a + 256)
+        for a in range(lo, hi, TEXTS_AT_ONCE):
+            yield a, min(hi, a + TEXTS_AT_ONCE)
 
 
 def margins(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
