@@ -17,8 +17,8 @@ from .words import LOWER, chunks, text_bytes
 WINDOW = 4096
 QUANTUM = 256
 END = 2
-CHUNK_BYTES = 4 << 20  # of text tokenised at once
-CACHED_WORDS = 500_000  # of a worker; later words are encoded anew each time
+CHUNK_BYTES = 2 << 20  # of text tokenised at once
+CACHED_WORDS = 450_000  # of a worker; later words are encoded anew each time
 _tokenizers: dict[str, Words] = {}
 _GAP = "\x01"  # stands alone between encoded words: one piece, one id
 _TAIL = ".,!?;:"
