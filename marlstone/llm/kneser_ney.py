@@ -18,7 +18,7 @@ from .words import chunks, text_bytes
 
 SYMBOLS, ORDER = 40, 4
 LANGUAGES_AT_ONCE = 8  # models that tasks hold at a time: 10 MB each
-LOW, HIGH = 0.0005, 0.9995  # quantiles of trusted texts of a language
+LOW, HIGH = 0.01, 0.99  # quantiles of trusted texts of a language: strict, and no extremes once it has 100
 SHORTEST = 20  # symbols; shorter texts can't be judged
 SPACE = 26
 

@@ -193,6 +193,17 @@ def test_op6(spark):
     assert sum(good) >= 0.97 * len(good) and sum(bad) < 0.5 * len(bad)
 
 
+def test_op6_drops_most_bad_texts_of_each_language(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.quality for r in q.table(spark, sf, "labels").collect()}
+    kept = defaultdict(list)
+    for r in q.op6_kneser_ney_quality(spark, sf).collect():
+        kept[labels.get(r.doc_id), r.lang].append(r.kept)
+    bad = {lang: v for (label, lang), v in kept.items() if label == 0}
+    assert len(bad) == 4 and all(sum(v) < 0.2 * len(v) for v in bad.values()) and sum(map(sum, bad.values())) < 0.08 * sum(map(len, bad.values()))
+    assert all(sum(v) >= 0.97 * len(v) for (label, _), v in kept.items() if label == 1)
+
+
 def test_pipeline(spark, texts):
     """The same documents are left, and packed whole, as by brute force on what each stage was given."""
     import corpus_pipeline as p
