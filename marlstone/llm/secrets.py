@@ -20,6 +20,8 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SAMPLES = 6000  # labelled strings of each class that :func:`labelled_strings` makes
 THRESHOLD = 20.0  # nats by which the random model must be the likelier one
+SHORTEST = 16  # characters of a random stretch
+SPANS = "array<struct<start: int, rank: int, end: int, kind: string, text: string>>"
 WORDS = (
     "account action address alert archive array author backup balance batch binary block branch bucket buffer builder button cache "
     "callback camera channel client cluster column command commit config content context control country currency customer data "
@@ -116,6 +118,76 @@ def _found(text: Column, pattern: str, group: int, length: int, kind: str, order
     return F.when(text.rlike(pattern), walked).otherwise(F.expr("CAST(array() AS array<struct<start: int, rank: int, end: int, kind: string, text: string>>)"))
 
 
+def _pieces(run: Column, base: Column, length: int = 20) -> Column:
+    """What base matches, sorted by start, leave of a run: pieces of ``length`` or more, as spans."""
+
+    def piece(lo: Column, hi: Column) -> Column:
+        own = F.struct(lo.alias("start"), run["rank"].alias("rank"), hi.alias("end"), run["kind"].alias("kind"), run["text"].substr(lo - run["start"] + 1, hi - lo).alias("text"))
+        return F.when(hi - lo >= length, F.array(own)).otherwise(F.lit(None).cast(SPANS))
+
+    add = lambda found, new: F.concat(found, F.coalesce(new, F.expr(f"CAST(array() AS {SPANS})")))
+    return F.aggregate(
+        F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"])),
+        F.struct(run["start"].alias("at"), F.expr(f"CAST(array() AS {SPANS})").alias("found")),
+        lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), add(s["found"], piece(s["at"], b["start"])).alias("found")),
+        lambda s: add(s["found"], piece(s["at"], run["end"])),
+    )
+
+
+def _stretches(ratios: Column, threshold: float) -> Column:
+    """The stretches of a piece whose sum of ``ratios``, one for each pair of characters, is ``threshold`` or more, as
+    structs (a, b) of first and last character from 1. A stretch starts where the sum was last 0 and ends where it
+    is greatest; it is over when the sum has since fallen by ``threshold`` or to 0."""
+
+    def step(s: Column, x: Column) -> Column:
+        fresh = s["sum"] <= 0
+        now = F.when(fresh, x).otherwise(s["sum"] + x)
+        higher, over = now > s["best"], now <= F.greatest(F.lit(0.0), s["best"] - threshold)
+        return F.struct(
+            (s["i"] + 1).alias("i"), F.when(over, 0.0).otherwise(now).alias("sum"), F.when(fresh, s["i"]).otherwise(s["start"]).alias("start"),
+            F.when(over, 0.0).otherwise(F.greatest(s["best"], now)).alias("best"),
+            F.when(higher, F.when(fresh, s["i"]).otherwise(s["start"])).otherwise(s["a"]).alias("a"), F.when(higher, s["i"] + 1).otherwise(s["b"]).alias("b"),
+            F.when(over, ended(s)).otherwise(s["found"]).alias("found"),
+        )
+
+    def ended(s: Column) -> Column:
+        return F.when(s["best"] >= threshold, F.concat(s["found"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"))))).otherwise(s["found"])
+
+    zero = F.expr("struct(1 AS i, 0D AS sum, 1 AS start, 0D AS best, 0 AS a, 0 AS b, CAST(array() AS array<struct<a: int, b: int>>) AS found)")
+    return F.aggregate(ratios, zero, step, ended)
+
+
+def _widened(piece: Column, stretches: Column) -> Column:
+    """``stretches`` of a piece as spans, without ``/``, ``_``, ``-`` and ``=`` at their ends, then out to the next
+    character that isn't a letter or digit, with ``=`` after them; those that then overlap are one."""
+
+    def bare(x: Column) -> Column:
+        own = piece["text"].substr(x["a"], x["b"] - x["a"] + 1)
+        before, after = (F.length(F.regexp_extract(own, pattern, 0)) for pattern in ("^[/_=-]*", "[/_=-]*$"))
+        return F.struct((x["a"] + before).alias("a"), (x["b"] - after).alias("b"))
+
+    def ends(x: Column) -> Column:
+        left = F.length(F.regexp_extract(piece["text"].substr(F.lit(1), x["a"] - 1), "[A-Za-z0-9]*$", 0))
+        right = F.length(F.regexp_extract(piece["text"].substr(x["b"] + 1, F.length(piece["text"])), "^[A-Za-z0-9]*=*", 0))
+        return F.struct((x["a"] - left).alias("a"), (x["b"] + right).alias("b"))
+
+    last = lambda s: F.try_element_at(s, F.lit(-1))
+    joined = F.aggregate(
+        F.transform(F.transform(stretches, bare), ends), F.expr("CAST(array() AS array<struct<a: int, b: int>>)"),
+        lambda s, x: F.when(
+            (F.size(s) > 0) & (x["a"] <= last(s)["b"]),
+            F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(last(s)["a"].alias("a"), F.greatest(last(s)["b"], x["b"]).alias("b")))),
+        ).otherwise(F.concat(s, F.array(x))),
+    )
+    return F.transform(
+        F.filter(joined, lambda x: x["b"] - x["a"] + 1 >= SHORTEST),
+        lambda x: F.struct(
+            (piece["start"] + x["a"] - 1).alias("start"), piece["rank"].alias("rank"), (piece["start"] + x["b"]).alias("end"),
+            piece["kind"].alias("kind"), piece["text"].substr(x["a"], x["b"] - x["a"] + 1).alias("text"),
+        ),
+    )
+
+
 def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
@@ -123,9 +195,10 @@ def _written(spans: Column) -> Column:
 def find_secrets(docs: DataFrame, model: MarkovRatio, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Secrets of each text: ``doc_id, base, random``, arrays of (start, rank, end, kind, text), by start.
 
-    ``base`` are matches of ``KINDS``. ``random`` are runs of 20 or more key characters that no base match
-    touches and that the random model makes likelier than the ordinary one by ``threshold`` nats. Starts and ends
-    count code points. Built-in functions alone; every row is worked on where it is read, without a shuffle.
+    ``base`` are matches of ``KINDS``. Runs of key characters are cut at base matches; ``random`` are the
+    stretches within pieces of 20 or more that the random model makes likelier than the ordinary one by
+    ``threshold`` nats, whatever ordinary text they are joined to, out to the next character that isn't a letter
+    or digit; those of fewer than ``SHORTEST`` characters don't count. Starts and ends count code points. Built-in functions alone; every row is worked on where it is read, without a shuffle.
 
     Nulls: a null text counts as empty, without spans; a null id is kept. Repeated rows are scanned each. An
     empty table gives no rows. The work for a text is in proportion to its length, and to the square of its
@@ -135,14 +208,14 @@ def find_secrets(docs: DataFrame, model: MarkovRatio, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     kinds = [_found(F.col("_text"), SCANNED.get(kind, pattern), group, length, kind, k) for k, (kind, pattern, group, length) in enumerate(KINDS)]
     rows = rows.select("doc_id", F.array_sort(F.concat(*kinds)).alias("base"), _found(F.col("_text"), CANDIDATE, 0, 20, "random", len(KINDS)).alias("_runs"))
-    rows = rows.withColumn("_runs", F.filter("_runs", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
+    rows = rows.withColumn("_runs", F.when(F.size("_runs") > 0, F.flatten(F.transform("_runs", lambda c: _pieces(c, F.col("base"))))).otherwise(F.col("_runs")))
     coded = F.transform("_runs", lambda c: F.struct(c.alias("c"), F.transform(F.split(c["text"], ""), lambda x: F.position(x, F.lit(ALPHABET))).alias("k")))
     weights = model.column()
-    ratio = lambda c: F.aggregate(
-        F.sequence(F.lit(1), F.length(c["c"]["text"]) - 1), F.lit(0.0),
-        lambda s, i: s + F.element_at(weights, ((F.element_at(c["k"], i) - 1) * n + F.element_at(c["k"], i + 1)).cast("int")),
+    ratios = lambda c: F.transform(
+        F.sequence(F.lit(1), F.length(c["c"]["text"]) - 1),
+        lambda i: F.element_at(weights, ((F.element_at(c["k"], i) - 1) * n + F.element_at(c["k"], i + 1)).cast("int")),
     )
-    likely = F.when(F.size("_runs") > 0, F.transform(F.filter(coded, lambda c: ratio(c) >= threshold), lambda c: c["c"])).otherwise(F.col("_runs"))
+    likely = F.when(F.size("_runs") > 0, F.flatten(F.transform(coded, lambda c: _widened(c["c"], _stretches(ratios(c), threshold))))).otherwise(F.col("_runs"))
     return rows.select("doc_id", "base", likely.alias("random"))
 
 

@@ -205,6 +205,24 @@ def test_secrets(docs, none, clash, spark):
     assert secrets.find_secrets(none, model).count() == 0 and secrets.find_secrets(clash, model).count() == 3
 
 
+def test_secrets_joined_to_ordinary_text(spark):
+    model = secrets.train(secrets.labelled_strings(spark))
+    rng = np.random.default_rng(7)
+    base62 = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    keys = ["".join(rng.choice(base62, 24)) for _ in range(200)]
+    before = ["", "services/hooks/incoming/", "customer_account_session_", "api/v1/customers/account/session/", "0123456789abcdef0123/"]
+    texts = [f"see {b}{k} there" for b in before for k in keys] + [f"{k}/customer/account/session/{k[::-1]}" for k in keys]
+    found = secrets.secret_counts(secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model)).collect()
+    whole = {r.doc_id: {tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("random")} for r in found}
+    for at, b in enumerate(before):
+        assert sum((4 + len(b), 28 + len(b)) in whole[200 * at + k] for k in range(200)) >= 195, b
+    size = len(texts[-1])
+    assert sum({(0, 24), (size - 24, size)} <= whole[1000 + k] for k in range(200)) >= 190
+    plain = ["customer_account_session_handler", "api/v1/customers/account/session/2024", "getUserAccountSettingsById", "MAXIMUM_BATCH_SIZE_LIMIT_2024", "-" * 40, "4" * 40]
+    found = secrets.secret_counts(secrets.find_secrets(spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string"), model))
+    assert found.filter("n_random > 0").count() == 0
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a", "x\r\n\r\ny"), (2, None, "x\r\n\r\ny"), (3, "u v\n", None), (4, "b", ""), (5, "c", "WARC/1.1\r\n\r\n"), (9, "http://a", "x\r\n\r\ny"), (9, "http://a", "x\r\n\r\ny"), (10, "z", "é" * 200_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
