@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, staged, unused, without
+from .shared import ascii_lower, matched_rows, spread_join, staged, unused
 
 SALTS = 16
 
@@ -23,9 +23,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
        brings at most one row per task, spread over ``salts`` tasks;
     3. the winners of the salts, at most ``salts`` for each text, are combined.
 
-    The winner goes back to its members by digest. Only groups of two or more take part in that join, and they
-    are repeated for each salt, so a hot group's members spread over ``salts`` keys. Should two different texts
-    ever share a digest, the digest's rows are matched on their text instead. The winners, a row without text for
+    The winner goes back to its members by digest (:func:`spread_join`: a hot group's members are dealt over as many
+    salts as its size asks for). Should two different texts ever share a digest, the digest's rows are matched on their text instead. The winners, a row without text for
     each digest, are staged in the shared folder.
 
     Nulls: a null text counts as empty. A null id never wins over another id; a group without any id has a null
@@ -47,9 +46,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ),
         "winners",
     )
-    groups = winners.filter("group_size > 1").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    members = rows.select("doc_id", "text_sha256", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("_salt"))
-    joined = members.join(groups, ["text_sha256", "_salt"], "left")
+    groups = winners.filter("group_size > 1")
+    joined = spread_join(rows.select("doc_id", "text_sha256"), groups, ["text_sha256"], "group_size", ["doc_id"], "left")
     size = F.coalesce("group_size", F.lit(1)).cast("long")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     plain = joined.filter(F.coalesce("_texts", F.lit(1)) == 1)
@@ -68,13 +66,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`exact_groups` keeps; of rows that repeat id and text, one."""
-    groups = staged(exact_groups(docs, id_col, text_col), "groups")
-    left = without(docs, groups.filter(~F.col("kept")), id_col)
-    again = groups.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id", "text_sha256").count().filter("count > 1").select("doc_id")
+    """The rows of ``docs``, all columns, that :func:`exact_groups` keeps; of rows that repeat id and text, one.
+
+    A row is told by its id and the SHA-256 of its normalised text, so that of an id with several texts only the
+    copies go. Texts of null id go if another row has theirs and an id; among themselves one stays.
+    """
+    groups = staged(exact_groups(docs, id_col, text_col).select("doc_id", "kept", F.unhex("text_sha256").alias("text_key")), "groups")
+    norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    key = F.unhex(F.sha2(norm, 256))
+    left = matched_rows(docs, groups.filter(~F.col("kept")), id_col, key, "left_anti")
+    again = staged(groups.filter("kept").groupBy("doc_id", "text_key").count().filter("count > 1"), "repeated")
     if again.isEmpty():
         return left
-    once, norm = without(left, again, id_col), unused(docs, "norm")
-    ids = again.distinct()
-    twice = left.join(ids, left[id_col] == ids["doc_id"], "left_semi").withColumn(norm, ascii_lower(F.coalesce(F.col(text_col), F.lit(""))))
-    return once.unionByName(twice.dropDuplicates([id_col, norm]).drop(norm))
+    once, name = matched_rows(left, again, id_col, key, "left_anti"), unused(docs, "norm")
+    twice = matched_rows(left, again, id_col, key).withColumn(name, norm)
+    return once.unionByName(twice.dropDuplicates([id_col, name]).drop(name))

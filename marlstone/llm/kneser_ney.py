@@ -1,7 +1,8 @@
 """Quality filter: interpolated modified Kneser-Ney models of trusted text, one for each language.
 
-The models are over symbols of bytes, 40 in all, so that a language's whole model has at most 40**4 numbers however
-much text it is trained on; texts are scored against it where they are read.
+The models are of characters, with n-gram counts as tables sharded by language and n-gram, so that they grow with the
+text. Documents are scored by joins too: the different n-grams of a block of documents are looked up once, and their
+probabilities come back to the block. Texts are never shuffled; they are staged in buckets by block.
 """
 
 from __future__ import annotations
@@ -10,197 +11,292 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import among, staged
-from .words import chunks, text_bytes
-
-SYMBOLS, ORDER = 40, 4
-LANGUAGES_AT_ONCE = 8  # models that tasks hold at a time: 10 MB each
-LOW, HIGH = 0.01, 0.99  # quantiles of trusted texts of a language: strict, and no extremes once it has 100
-SHORTEST = 20  # symbols; shorter texts can't be judged
-SPACE = 26
-
-
-def _symbols() -> np.ndarray:
-    """a-z: themselves; then white space, capitals, digits, stops, other marks, and bytes of non-ASCII characters."""
-    table = np.full(256, 30, np.int32)
-    table[97:123] = np.arange(26)
-    table[[9, 10, 11, 12, 13, 32]] = SPACE
-    table[65:91] = 27
-    table[48:58] = 28
-    table[[44, 46]] = 29
-    table[[33, 63]] = 31
-    table[128:192] = 32 + np.arange(64) % 4
-    table[192:] = 36 + np.arange(64) % 4
-    return table
-
-
-_TABLE = _symbols()
-
-
-def codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The code of the ``ORDER`` symbols that end at each byte, the first ones after spaces, and texts' offsets.
-    White space of any length is one symbol."""
-    raw, offsets = text_bytes(texts)
-    symbols = _TABLE[raw]
-    doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    stay = symbols != SPACE
-    stay[1:] |= (symbols[:-1] != SPACE) | (doc[1:] != doc[:-1])
-    symbols, doc = symbols[stay], doc[stay]
-    offsets = np.searchsorted(doc, np.arange(len(texts) + 1))
-    inside = np.arange(len(symbols)) - offsets[doc] if len(symbols) else symbols
-    out = symbols.copy()
-    for back in range(1, ORDER):
-        earlier = np.full(len(symbols), SPACE, np.int32)
-        earlier[back:] = symbols[:-back]
-        earlier[inside < back] = SPACE
-        out += earlier * np.int32(SYMBOLS**back)
-    return out, offsets
-
-
-def ngram_counts(trusted: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """``lang, code, n``: how often each code occurs in each language's texts; tasks merge what they read."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+from .shared import staged, staged_by
+from .words import chunks, mixed, text_bytes
+
+ORDER = 5  # characters of an n-gram
+BLOCK_BYTES = 16 << 20  # of text in a block; a longer text is one by itself
+LOW, HIGH = 0.01, 0.99  # quantiles of a language's trusted texts
+SPACE, ODD = 32, 0xFFFD  # white space of any kind and length; NUL
+_SPACES = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+BLOCK = "block string, fold int, doc_ids array<long>, langs array<string>, sizes array<long>, texts binary"
+
+
+def text_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """Rows of documents put together, with compressed texts, staged in buckets by ``block``. All of a block are in one
+    ``fold``, 0 or 1 by a hash of the id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, held = 0, [([], [], [], []), ([], [], [], [])]
+
+        def block(fold: int) -> pa.RecordBatch:
+            nonlocal made
+            made += 1
+            ids, langs, sizes, texts = held[fold]
+            held[fold] = ([], [], [], [])
+            return pa.RecordBatch.from_arrays([
+                pa.array([f"{TaskContext.get().partitionId()}-{made}"]), pa.array([fold], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([langs], pa.list_(pa.string())),
+                pa.array([sizes], pa.list_(pa.int64())), pa.array([zstandard.compress(b"".join(texts))], pa.binary()),
+            ], ["block", "fold", "doc_ids", "langs", "sizes", "texts"])
+
         for batch in batches:
-            for lo, hi in chunks(batch.column(1)):
-                code, offsets = codes(batch.column(1).slice(lo, hi - lo))
-                langs = np.array(batch.column(0).slice(lo, hi - lo).to_pylist(), object)
-                each = np.repeat(np.arange(hi - lo), np.diff(offsets))
-                for lang in set(langs):
-                    found, n = np.unique(code[(langs == lang)[each]], return_counts=True)
-                    own = held.setdefault(lang, np.zeros(SYMBOLS**ORDER, np.int64))
-                    own[found] += n
-        for lang, own in held.items():
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(own[at])], ["lang", "code", "n"])
-
-    rows = trusted.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-
-
-def estimate(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Probabilities of seen n-grams, ``lang, size, code, p``, and what unseen ones of a context take from the next
-    order, ``lang, size, context, rest``, for sizes 1 to ``ORDER``.
+            for fold in (0, 1):
+                own = batch.filter(pc.equal(batch.column(3), fold))
+                for lo, hi in chunks(own.column(2)):
+                    raw, offsets = text_bytes(own.column(2).slice(lo, hi - lo))
+                    if held[fold][2] and sum(map(len, held[fold][3])) + len(raw) > BLOCK_BYTES:
+                        yield block(fold)
+                    ids, langs, sizes, texts = held[fold]
+                    ids += own.column(0).slice(lo, hi - lo).to_pylist()
+                    langs += own.column(1).slice(lo, hi - lo).to_pylist()
+                    sizes += np.diff(offsets).tolist()
+                    texts.append(raw.tobytes())
+        for fold in (0, 1):
+            if held[fold][2]:
+                yield block(fold)
+
+    id_ = F.col(id_col).cast("long")
+    rows = docs.select(id_, F.col(lang_col).cast("string"), F.col(text_col), F.pmod(F.xxhash64(F.lit(7), id_), F.lit(2)).cast("int"))
+    return staged_by(rows.mapInArrow(run, BLOCK), "blocks", "block")
+
+
+def symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts whose UTF-8 bytes lie between ``offsets``, and where each text begins. White space of
+    any length is one space."""
+    first = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[offsets]
+    found = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).copy()
+    found[found == 0] = ODD
+    found[np.isin(found, _SPACES)] = SPACE
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    stay = found != SPACE
+    stay[1:] |= (found[:-1] != SPACE) | (doc[1:] != doc[:-1])
+    stay[first[:-1][np.diff(first) > 0]] = True
+    return found[stay], np.concatenate(([0], np.cumsum(stay)))[first]
+
+
+def grams(found: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
+    """The ``order`` symbols that end at each symbol, a column for each, those before a text being spaces."""
+    inside = np.arange(len(found)) - np.repeat(first[:-1], np.diff(first))
+    out = np.full((len(found), order), SPACE, np.uint32)
+    for back in range(order):
+        out[back:, order - 1 - back] = found[: len(found) - back]
+        out[inside < back, order - 1 - back] = SPACE
+    return out
+
+
+def _parts(row: dict, wanted: np.ndarray | None, order: int) -> Iterator[tuple]:
+    """Of a block's texts in parts of bounded size: indices of the texts, keys of language and n-gram for each symbol,
+    the n-grams, and where each text begins. ``wanted`` selects texts; those of null language are left out."""
+    sizes = np.array(row["sizes"], np.int64)
+    raw = np.frombuffer(zstandard.decompress(row["texts"]), np.uint8) if sizes.sum() else np.zeros(0, np.uint8)
+    edges = np.concatenate(([0], np.cumsum(sizes)))
+    known = np.array([x is not None for x in row["langs"]], bool)
+    if wanted is not None:
+        known &= wanted
+    languages = {x: k for k, x in enumerate(sorted({x for x in row["langs"] if x is not None}))}
+    number = np.array([languages.get(x, 0) for x in row["langs"]], np.uint64)
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + (1 << 20), "right")) - 1)
+        mine = lo + np.flatnonzero(known[lo:hi])
+        if len(mine):
+            inside = np.repeat(known[lo:hi], sizes[lo:hi])
+            found, first = symbols(raw[edges[lo] : edges[hi]][inside], np.concatenate(([0], np.cumsum(sizes[mine]))))
+            own = grams(found, first, order)
+            key = np.repeat(number[mine], np.diff(first))
+            for k in range(order):
+                key = key * np.uint64(0x9E3779B97F4A7C15) + own[:, k]
+            yield mine, mixed(key), own, first
+        lo = hi
+
+
+def _distinct(row: dict, wanted: np.ndarray | None, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys of a block's different pairs of language and n-gram, an index of a text of that language, the n-gram, and
+    how often it occurs."""
+    parts = []
+    for mine, key, own, first in _parts(row, wanted, order):
+        keys, at, n = np.unique(key, return_index=True, return_counts=True)
+        parts.append((keys, mine[np.searchsorted(first, at, "right") - 1], own[at], n))
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, order), np.uint32), np.zeros(0, np.int64)
+    keys, text, own, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order_ = np.argsort(keys, kind="stable")
+    at = order_[np.flatnonzero(np.concatenate(([True], keys[order_][1:] != keys[order_][:-1])))]
+    total = np.add.reduceat(n[order_], np.flatnonzero(np.concatenate(([True], keys[order_][1:] != keys[order_][:-1]))))
+    return keys[at], text[at], own[at], total
+
+
+def _strings(own: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(own).view(f"<U{own.shape[1]}").ravel() if len(own) else [], pa.string())
+
+
+def _models(row: dict, fold: int) -> pa.Array:
+    return pa.array([None if x is None else f"{fold}:{x}" for x in row["langs"]], pa.string())
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {name: batch.column(c)[k].as_py() for c, name in enumerate(batch.schema.names)}
+
+
+def asked_grams(blocks: DataFrame, order: int) -> DataFrame:
+    """``block, place, lang, gram``: each block's different n-grams, ``place`` being their rank by key. ``lang`` names the
+    model that scores them: the language's, from the other fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            _, text, own, _ = _distinct(row, None, order)
+            langs = _models(row, 1 - row["fold"]).dictionary_encode()
+            for lo in range(0, len(text), 1 << 16):
+                mine = text[lo : lo + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row["block"]] * len(mine), pa.string()), pa.array(np.arange(lo, lo + len(mine)), pa.int32()), langs.take(pa.array(mine)).dictionary_decode(), _strings(own[lo : lo + (1 << 16)]),
+                ], ["block", "place", "lang", "gram"])
+
+    return blocks.select("block", "fold", "langs", "sizes", "texts").mapInArrow(run, "block string, place int, lang string, gram string")
+
+
+def gram_counts(blocks: DataFrame, learned: DataFrame, order: int) -> DataFrame:
+    """``lang, gram, n`` over the texts in ``learned`` (``block, learn``: places of texts); blocks merge their own.
+    ``lang`` names the model: the language's, of the block's fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            wanted = np.zeros(len(row["sizes"]), bool)
+            wanted[row["learn"]] = True
+            _, text, own, n = _distinct(row, wanted, order)
+            langs = _models(row, row["fold"])
+            yield pa.RecordBatch.from_arrays([langs.take(pa.array(text)), _strings(own), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+
+    rows = blocks.join(learned, "block").select("fold", "langs", "sizes", "texts", "learn")
+    return rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def _start(gram: Column, length: int) -> Column:
+    return F.substring(gram, 1, length) if length else F.lit("")
+
+
+def estimate(counts: DataFrame, order: int = ORDER) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """For sizes 1 to ``order``: probabilities of seen n-grams, ``lang, gram, p``, and what unseen ones of a context take
+    from the next lower order, ``lang, context, rest``. Below size 1 all characters, and one more for those never
+    seen, are equally likely.
 
     Counts of an order are joined to totals of their contexts and to the probabilities of the next lower order,
-    all sharded by language and code. Lower orders count the different symbols before an n-gram. Discounts are
+    all sharded by language and n-gram. Lower orders count the different characters before an n-gram. Discounts are
     Chen and Goodman's, from each order's counts of counts, or 1/2, 1 and 3/2 where there are too few.
     """
-    tables = {ORDER: counts}
-    for size in range(ORDER - 1, 0, -1):
-        tables[size] = tables[size + 1].groupBy("lang", F.pmod("code", F.lit(SYMBOLS**size)).alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    lower, seen, rests = None, None, None
-    for size in range(1, ORDER + 1):
-        own = staged(tables[size].withColumn("context", F.expr(f"code div {SYMBOLS}")), f"counts{size}")
+    tables = {order: counts}
+    for size in range(order - 1, 0, -1):
+        tables[size] = tables[size + 1].groupBy("lang", F.substring("gram", 2, size).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+    out: dict[int, tuple[DataFrame, DataFrame]] = {}
+    for size in range(1, order + 1):
+        own = staged(tables[size], f"counts{size}").withColumn("context", _start(F.col("gram"), size - 1))
         some = [F.sum(F.when(F.col("n") == k, 1).otherwise(0)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
-        d = own.groupBy("lang").agg(*some)
+        d = own.groupBy("lang").agg(*some, (1 / (F.count(F.lit(1)) + 1)).alias("uniform"))
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
         enough = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
         for k in (1, 2, 3):
             value = k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}"))
             d = d.withColumn(f"d{k}", F.when(enough, F.least(F.greatest(value, F.lit(0.1)), F.lit(float(k)))).otherwise(F.lit(k / 2)))
-        own = own.join(F.broadcast(d.select("lang", "d1", "d2", "d3")), "lang")  # a row a language
+        own = own.join(F.broadcast(d.select("lang", "d1", "d2", "d3", "uniform")), "lang")  # a row a language
         less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         own = own.withColumn("less", F.least(less, F.col("n").cast("double")))
-        context = own.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("less").alias("taken"))
-        context = context.withColumn("rest", F.col("taken") / F.col("total"))
-        own = own.join(context, ["lang", "context"]).withColumn("_low", F.pmod("code", F.lit(SYMBOLS ** (size - 1))))
-        if lower is None:
-            own = own.withColumn("q", F.lit(1.0 / SYMBOLS))
+        context = own.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("less") / F.sum("n")).alias("rest"), F.first("uniform").alias("uniform"))
+        own = own.drop("uniform").join(context, ["lang", "context"])
+        if size == 1:
+            own = own.withColumn("q", F.col("uniform"))
         else:
-            own = own.join(lower.select("lang", F.col("code").alias("_low"), F.col("p").alias("q")), ["lang", "_low"])
-        own = staged(own.select("lang", F.lit(size).alias("size"), "code", ((F.col("n") - F.col("less")) / F.col("total") + F.col("rest") * F.col("q")).alias("p")), f"p{size}")
-        rest = context.select("lang", F.lit(size).alias("size"), "context", "rest")
-        seen, rests, lower = (own if seen is None else seen.unionByName(own)), (rest if rests is None else rests.unionByName(rest)), own
-    return seen, rests
-
-
-def dense_models(seen: DataFrame, rests: DataFrame) -> dict[str, np.ndarray]:
-    """Log-probabilities of all ``SYMBOLS ** ORDER`` codes, by language."""
-    p, r = seen.toArrow(), rests.toArrow()  # fixed bounds for each language
-    models: dict[str, np.ndarray] = {}
-    lang, size, code, value = (p[c].to_numpy(zero_copy_only=False) for c in ("lang", "size", "code", "p"))
-    rest_lang, rest_size, context, rest = (r[c].to_numpy(zero_copy_only=False) for c in ("lang", "size", "context", "rest"))
-    for name in sorted(set(lang)):
-        below = np.full(1, 1.0 / SYMBOLS)
-        for n in range(1, ORDER + 1):
-            left = np.ones(SYMBOLS ** (n - 1))
-            at = (rest_lang == name) & (rest_size == n)
-            left[context[at]] = rest[at]
-            out = np.repeat(left, SYMBOLS) * np.tile(below, SYMBOLS)
-            at = (lang == name) & (size == n)
-            out[code[at]] = value[at]
-            below = out
-        models[name] = np.log(below).astype(np.float32)
-    return models
-
-
-def perplexities(docs: DataFrame, models: dict[str, np.ndarray], id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """``doc_id, lang, symbols, perplexity``; null perplexity for a language without a model or an empty text."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    names = sorted(models)
-    blocks = [names[k : k + LANGUAGES_AT_ONCE] for k in range(0, max(1, len(names)), LANGUAGES_AT_ONCE)]
-    out = None
-    for k, block in enumerate(blocks):
-        shared = docs.sparkSession.sparkContext.broadcast({x: models[x] for x in block})
-
-        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo, hi in chunks(batch.column(2)):
-                    code, offsets = codes(batch.column(2).slice(lo, hi - lo))
-                    langs = batch.column(1).slice(lo, hi - lo)
-                    n = np.diff(offsets)
-                    logs, known = np.zeros(len(code), np.float32), np.zeros(hi - lo, bool)
-                    each = np.repeat(np.arange(hi - lo), n)
-                    names = np.array(langs.to_pylist(), object)
-                    for lang in set(names) & set(shared.value):
-                        mine = names == lang
-                        known |= mine
-                        at = mine[each]
-                        logs[at] = shared.value[lang][code[at]]
-                    sums = np.concatenate(([0.0], np.cumsum(logs, dtype=np.float64)))
-                    mean = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(n, 1)
-                    yield pa.RecordBatch.from_arrays([
-                        batch.column(0).slice(lo, hi - lo), langs, pa.array(n, pa.int64()), pa.array(np.exp(-mean), mask=~known | (n == 0)),
-                    ], ["doc_id", "lang", "symbols", "perplexity"])
-
-        own = rows
-        if len(blocks) > 1:
-            # rows of no model go with the first block
-            mine = F.coalesce(F.col("lang").isin(block), F.lit(False))
-            own = rows.filter(mine | ~F.coalesce(F.col("lang").isin(names), F.lit(False)) if k == 0 else mine)
-        part = own.mapInArrow(score, "doc_id long, lang string, symbols long, perplexity double")
-        out = part if out is None else out.unionByName(part)
+            lower = out[size - 1][0].select("lang", F.col("gram").alias("_low"), F.col("p").alias("q"))
+            own = own.withColumn("_low", F.substring("gram", 2, size - 1)).join(lower, ["lang", "_low"])
+        p = own.select("lang", "gram", ((F.col("n") - F.col("less")) / F.col("total") + F.col("rest") * F.col("q")).alias("p"))
+        out[size] = staged(p, f"p{size}"), staged(context.select("lang", "context", "rest", "uniform"), f"rest{size}")
     return out
 
 
+def resolved(asked: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], size: int) -> DataFrame:
+    """``lang, gram, p`` for the different n-grams in ``asked``: their own probability, or what their context leaves to
+    the n-gram without its first character. Only n-grams that weren't seen go on to the next lower order."""
+    seen, rests = model[size]
+    tried = staged(asked.join(seen, ["lang", "gram"], "left"), f"asked{size}")
+    found = tried.filter("p IS NOT NULL")
+    unseen = tried.filter("p IS NULL").drop("p").withColumn("context", _start(F.col("gram"), size - 1))
+    if size == 1:
+        # a row a language
+        return found.unionByName(unseen.join(F.broadcast(rests), ["lang", "context"]).select("lang", "gram", (F.col("rest") * F.col("uniform")).alias("p")))
+    unseen = unseen.join(rests.select("lang", "context", "rest"), ["lang", "context"], "left").withColumn("_low", F.substring("gram", 2, size - 1))
+    lower = resolved(unseen.select("lang", F.col("_low").alias("gram")).distinct(), model, size - 1)
+    lower = lower.select("lang", F.col("gram").alias("_low"), F.col("p").alias("q"))
+    return found.unionByName(unseen.join(lower, ["lang", "_low"]).select("lang", "gram", (F.coalesce("rest", F.lit(1.0)) * F.col("q")).alias("p")))
+
+
+def perplexities(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], order: int = ORDER) -> DataFrame:
+    """``doc_id, lang, symbols, perplexity`` of each document; null perplexity for a null language or one without a
+    model, and for an empty text. Each block's n-grams are joined to the model and their logarithms sent back to it."""
+    asked = asked_grams(blocks, order)
+    tried = asked.join(model[order][0], ["lang", "gram"], "left")
+    seen = tried.filter("p IS NOT NULL").select("block", "place", "p")
+    unseen = tried.filter("p IS NULL").select("block", "place", "lang", "gram")
+    lower = resolved(unseen.select("lang", "gram").distinct(), model, order)
+    answers = seen.unionByName(unseen.join(lower, ["lang", "gram"]).select("block", "place", "p"))
+    # a block's answers, at most one for each of its symbols
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("place", F.log("p").cast("float").alias("log"))).alias("answers"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {name: batch.column(c)[k].as_py() for c, name in enumerate(batch.schema.names) if name != "answers"}
+                keys = _distinct(row, None, order)[0]
+                logs = np.full(len(keys), np.nan, np.float32)
+                if (answer := batch.column(batch.num_columns - 1)[k].values) is not None:
+                    logs[answer.field("place").to_numpy(zero_copy_only=False)] = answer.field("log").to_numpy(zero_copy_only=False)
+                n, mean = np.zeros(len(row["sizes"]), np.int64), np.full(len(row["sizes"]), np.nan)
+                for mine, key, _, first in _parts(row, None, order):
+                    sums = np.concatenate(([0.0], np.cumsum(np.nan_to_num(own := logs[np.searchsorted(keys, key)]), dtype=np.float64)))
+                    unknown = np.concatenate(([0], np.cumsum(np.isnan(own))))
+                    n[mine] = np.diff(first)
+                    fine = (unknown[first[1:]] == unknown[first[:-1]]) & (n[mine] > 0)
+                    mean[mine[fine]] = ((sums[first[1:]] - sums[first[:-1]]) / np.maximum(n[mine], 1))[fine]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(row["doc_ids"], pa.int64()), pa.array(row["langs"], pa.string()), pa.array(n), pa.array(np.exp(-mean), mask=np.isnan(mean)),
+                ], ["doc_id", "lang", "symbols", "perplexity"])
+
+    rows = blocks.join(answers, "block", "left").select("doc_ids", "langs", "sizes", "texts", "answers")
+    return rows.mapInArrow(score, "doc_id long, lang string, symbols long, perplexity double")
+
+
 def quality(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    low: float = LOW, high: float = HIGH, shortest: int = SHORTEST,
+    low: float = LOW, high: float = HIGH, order: int = ORDER,
 ) -> DataFrame:
     """``doc_id, lang, symbols, perplexity, low, high, kept`` for each row of ``docs``.
 
-    ``trusted`` has the ids (``id_col``) of trusted rows; their texts train a model for each language, and the
-    ``low`` and ``high`` quantiles of their perplexities are the language's limits. A text outside of them goes:
-    above is text unlike the trusted, below is text that repeats itself.
+    ``trusted`` has the ids (``id_col``) of trusted rows. Rows are in two folds by a hash of their id. The trusted texts
+    of a fold train a model of each language, which scores the rows of the other one: no text is judged by a model
+    that has seen it. The ``low`` and ``high`` quantiles of the trusted texts' perplexities are the language's limits.
+    A text outside of them goes, of whatever length: above is text unlike the trusted, below is text that repeats itself.
 
-    Kept in any case: rows of null language, of a language without trusted text, null texts and those of fewer
-    than ``shortest`` symbols. A null id is never trusted. Repeated rows count each. Empty tables give no rows, or
-    keep all.
+    Kept in any case, as there is nothing to judge them by: rows of null language or of a language without trusted
+    text in the other fold, null texts and empty ones. A null id is never trusted. Repeated rows count each; equal
+    perplexities are on the same side. Empty tables give no rows, or keep all. A long text is a block by itself.
     """
-    ids = trusted.select(F.col(id_col).cast("long").alias("id")).filter("id IS NOT NULL").distinct()
-    good = among(docs, ids, id_col, text_col, [F.col(lang_col).cast("string").alias("lang")])
-    models = dense_models(*estimate(staged(ngram_counts(good, "text", "lang"), "ngrams")))
-    scored = staged(perplexities(docs, models, id_col, text_col, lang_col), "perplexities")
+    ids = staged(trusted.select(F.col(id_col).cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct(), "trusted")
+    blocks = text_blocks(docs, id_col, text_col, lang_col)
+    members = blocks.select("block", F.posexplode("doc_ids").alias("place", "doc_id"))
+    learned = members.join(ids, "doc_id").groupBy("block").agg(F.collect_list("place").alias("learn"))
+    model = estimate(gram_counts(blocks, learned, order), order)
+    scored = staged(perplexities(blocks, model, order), "perplexities")
     limits = (
-        scored.filter(F.col("symbols") >= shortest).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").groupBy("lang")
+        scored.filter("perplexity IS NOT NULL").join(ids, "doc_id", "left_semi").groupBy("lang")
         .agg(F.percentile_approx("perplexity", F.array(F.lit(low), F.lit(high)), 100_000).alias("q"))
         .select("lang", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
     )
-    judged = scored.join(limits, "lang", "left")
-    fine = (F.col("symbols") < shortest) | F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
+    judged = scored.join(F.broadcast(limits), "lang", "left")  # a row a language
+    fine = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
     return judged.select("doc_id", "lang", "symbols", "perplexity", "low", "high", fine.alias("kept"))

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BITMAP, bitmap_of, staged
+from .shared import bit_of, bitmap_of, filter_bits, marked, matched_rows, staged, text_key
 from .words import Words, chunks, find_words, mixed, run_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 3  # a pair at the threshold meets in a band with probability 0.9998
-BUCKETS = 1 << 18  # of hashed document frequencies
+RAREST = 1e-3  # share of texts; a shingle in fewer weighs as one in so many
+CANDIDATES = 1 << 22  # bits of the bitmap of shingles that may be in more
+HELD = 1 << 22  # shingles that a task counts at a time
 PIVOTS = 6  # of a bucket, before texts are compared with all that may be alike
 COUNTERS = 1 << 20  # for the order of shingles from rare to frequent
 
@@ -50,28 +53,67 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
             yield a, min(hi, a + (1 << 15))
 
 
-def inverse_frequencies(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, buckets: int = BUCKETS) -> np.ndarray:
-    """The weight of each of ``buckets`` classes of hashed shingles: log(1 + texts / texts with such a shingle).
+@dataclass
+class Weights:
+    """Inverse document frequencies: those of common shingles, by sorted key, and that of all others."""
 
-    Frequencies are counted over all rows, in ``buckets`` numbers whatever the size of the table, as in a hashed
-    term-frequency vector: a shingle shares its weight with those in its class.
+    keys: np.ndarray
+    values: np.ndarray
+    rare: float
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), self.rare, np.float32)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            known = self.keys[at] == keys
+            out[known] = self.values[at[known]]
+        return out
+
+
+def inverse_frequencies(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, rarest: float = RAREST) -> Weights:
+    """log(1 + texts / texts with the shingle), where a shingle in less than ``rarest`` of all texts counts as one in
+    that share of them: so two texts' weights depend on how common their shingles are, not on the table's size.
+
+    Frequencies are exact, over all rows. A shingle that is common among all texts is common among those of some
+    part of them. So tasks first find the shingles that reach ``rarest`` of the texts they hold at a time, whose
+    hashes mark a bitmap; then marked shingles are counted over all texts, each task merging its own. At most
+    (mean distinct shingles of a text) / ``rarest`` can be common, which bounds what comes back to the driver
+    and is broadcast, at any size of the table.
     """
+    texts = docs.select(F.col(text_col).alias("text"))
+    total = docs.count()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rows = np.zeros(buckets, np.int64), 0
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
+        held, size, n = [], 0, 0
         for batch in batches:
             for lo, hi in _parts(batch.column(0)):
                 _, keys, _ = shingles(find_words(batch.column(0).slice(lo, hi - lo)), shingle)
-                seen += np.bincount(_bucket(keys, buckets), minlength=buckets)
-                rows += hi - lo
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(seen[at], rows), pa.int64())], ["bucket", "n"])
+                held.append(keys)
+                size, n = size + len(keys), n + hi - lo
+                if size >= HELD:
+                    yield np.concatenate(held), n
+                    held, size, n = [], 0, 0
+        if held:
+            yield np.concatenate(held), n
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n in parts(batches):
+            found, times = np.unique(keys, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(_bucket(found[times >= rarest * n], CANDIDATES))], ["bit"])
+
+    # where a table has many small files, a task reads several, so that few texts don't make much look common
+    wide = texts.coalesce(max(1, int(total * rarest / 4)))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wide.mapInArrow(local, "bit long")))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, _ in parts(batches):
+            found, times = np.unique(keys[marked(shared.value, _bucket(keys, CANDIDATES))], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(times.astype(np.int64))], ["key", "n"])
 
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    bucket, n = counted["bucket"].to_numpy(), counted["n"].to_numpy()
-    seen = np.ones(buckets)
-    seen[bucket[bucket >= 0]] = n[bucket >= 0]
-    return np.log1p(n[bucket < 0].sum() / seen).astype(np.float32)
+    counted = texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= rarest * total).toArrow()
+    keys = counted["key"].to_numpy().astype(np.uint64)
+    order = np.argsort(keys)
+    return Weights(keys[order], np.log1p(total / counted["n"].to_numpy()[order]).astype(np.float32), float(np.log1p(1 / rarest)))
 
 
 def sampled(owner: np.ndarray, keys: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
@@ -97,69 +139,78 @@ def sampled(owner: np.ndarray, keys: np.ndarray, weights: np.ndarray, size: int)
     return out
 
 
+def digests(words: Words) -> list[np.ndarray]:
+    """Twice 64 bits of the word sequence of each text that has words."""
+    n = np.diff(words.first)
+    full = np.flatnonzero(n > 0)
+    inside = np.arange(len(words.hashes)) - np.repeat(words.first[:-1], n)
+    out = []
+    for salt in (0x1234567, 0x89ABCDEF):
+        each = mixed(words.hashes ^ mixed((inside + salt).astype(np.uint64)))
+        whole = np.add.reduceat(each, words.first[:-1][full]) if len(full) else np.zeros(0, np.uint64)
+        out.append(mixed(whole).astype(np.int64))
+    return out
+
+
 def signatures(
     docs: DataFrame, idf, id_col: str, text_col: str, shingle: int, bands: int, rows: int
 ) -> DataFrame:
-    """``doc_id, d1, d2, bands``: 128 bits of the text's word sequence, and a hash for each band; null for a text
-    without words."""
+    """``doc_id, text_key, d1, d2, bands``: the text's SHA-256, 128 bits of its word sequence, and a hash for each
+    band; the latter null for a text without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = idf.value
         for batch in batches:
-            for lo, hi in _parts(batch.column(1)):
-                words = find_words(batch.column(1).slice(lo, hi - lo))
-                n = np.diff(words.first)
-                full = np.flatnonzero(n > 0)
-                inside = np.arange(len(words.hashes)) - np.repeat(words.first[:-1], n)
-                digest = []
-                for salt in (0x1234567, 0x89ABCDEF):
-                    each = mixed(words.hashes ^ mixed((inside + salt).astype(np.uint64)))
-                    whole = np.add.reduceat(each, words.first[:-1][full]) if len(full) else np.zeros(0, np.uint64)
-                    digest.append(mixed(whole).astype(np.int64))
+            for lo, hi in _parts(batch.column(2)):
+                words = find_words(batch.column(2).slice(lo, hi - lo))
+                full = np.flatnonzero(np.diff(words.first) > 0)
                 owner, keys, counts = shingles(words, shingle)
                 banded = np.zeros((len(full), bands), np.int64)
                 if len(full):
-                    samples = sampled(owner, keys, counts * weight[_bucket(keys, len(weight))], bands * rows)
+                    samples = sampled(owner, keys, counts * weight.of(keys), bands * rows)
                     for b in range(bands):
                         mix = np.zeros(len(full), np.uint64)
                         for k in range(rows):
                             mix = mixed(mix * np.uint64(31) + samples[:, b * rows + k])
                         banded[:, b] = mix.astype(np.int64)
-                ids = batch.column(0).slice(lo, hi - lo)
                 place = np.full(hi - lo, -1)
                 place[full] = np.arange(len(full))
                 take = pa.array(place, mask=place < 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * bands, pa.int32()), pa.array(banded.ravel()))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()).take(take) for x in digest), lists.take(take)], ["doc_id", "d1", "d2", "bands"])
+                yield pa.RecordBatch.from_arrays([
+                    *(batch.column(c).slice(lo, hi - lo) for c in (0, 1)), *(pa.array(x, pa.int64()).take(take) for x in digests(words)), lists.take(take),
+                ], ["doc_id", "text_key", "d1", "d2", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sign, "doc_id long, d1 long, d2 long, bands array<long>")
+    rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    return rows_.mapInArrow(sign, "doc_id long, text_key binary, d1 long, d2 long, bands array<long>")
 
 
-def shingle_vectors(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int, bitmap: int = BITMAP) -> DataFrame:
-    """``id, keys, counts``: sorted shingle keys and counts of the documents in ``wanted``.
+def shingle_vectors(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``id, keys, counts``: sorted shingle keys and counts of the texts in ``wanted`` (``id, doc_id, d1, d2``).
 
-    A bitmap of fixed size tells tasks which texts may be wanted; the join by id settles it.
+    A bitmap of a text's document ids tells tasks which texts may be wanted; the join by word sequence settles it.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "id", bitmap))
+    bits = filter_bits(wanted.count())
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted.select(bit_of(F.col("doc_id"), bits))))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mark = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            batch = batch.filter(pa.array(mark[batch.column(2).to_numpy()]))
-            for lo, hi in _parts(batch.column(1)):
-                owner, keys, counts = shingles(find_words(batch.column(1).slice(lo, hi - lo)), shingle)
-                edges = np.searchsorted(owner, np.arange(hi - lo + 1))
+            texts = batch.filter(pa.array(marked(shared.value, batch.column(1).to_numpy()))).column(0)
+            for lo, hi in _parts(texts):
+                words = find_words(texts.slice(lo, hi - lo))
+                full = np.flatnonzero(np.diff(words.first) > 0)
+                owner, keys, counts = shingles(words, shingle)
+                edges = [(np.searchsorted(owner, d), np.searchsorted(owner, d, "right")) for d in full]
                 counts = counts.astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(lo, hi - lo),
-                    pa.array([keys[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
-                    pa.array([counts[a:b].tobytes() if (counts[a:b] > 1).any() else b"" for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
-                ], ["id", "keys", "counts"])
+                    *(pa.array(x, pa.int64()) for x in digests(words)),
+                    pa.array([keys[a:b].tobytes() for a, b in edges], pa.binary()),
+                    pa.array([counts[a:b].tobytes() if (counts[a:b] > 1).any() else b"" for a, b in edges], pa.binary()),
+                ], ["d1", "d2", "keys", "counts"])
 
-    rows = docs.filter(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(bitmap)).cast("int").alias("bit")
-    )
-    return rows.mapInArrow(take, "id long, keys binary, counts binary").join(wanted, "id", "left_semi")
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"), bit_of(F.col(id_col).cast("long"), bits).alias("bit"))
+    found = rows.mapInArrow(take, "d1 long, d2 long, keys binary, counts binary").join(wanted.select("id", "d1", "d2"), ["d1", "d2"])
+    return found.select("id", "keys", "counts").dropDuplicates(["id"])
 
 
 def similarities(pairs: DataFrame, vectors: DataFrame, idf) -> DataFrame:
@@ -171,7 +222,7 @@ def similarities(pairs: DataFrame, vectors: DataFrame, idf) -> DataFrame:
         def vector(keys, counts) -> tuple[np.ndarray, np.ndarray]:
             k = np.frombuffer(keys.as_buffer(), np.uint64)
             n = np.frombuffer(counts.as_buffer(), np.uint32) if len(counts.as_buffer()) else 1
-            return k, weight[_bucket(k, len(weight))].astype(np.float64) * n
+            return k, weight.of(k).astype(np.float64) * n
 
         for batch in batches:
             out = np.zeros(batch.num_rows)
@@ -226,7 +277,7 @@ def prefix_pairs(vectors: DataFrame, few: DataFrame, idf, threshold: float, coun
                 for i in range(batch.num_rows):
                     keys = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint64)
                     counts = batch.column(2)[i].as_buffer()
-                    w = weight[_bucket(keys, len(weight))].astype(np.float64) * (np.frombuffer(counts, np.uint32) if len(counts) else 1)
+                    w = weight.of(keys).astype(np.float64) * (np.frombuffer(counts, np.uint32) if len(counts) else 1)
                     total = w.sum()
                     order = np.lexsort((keys, rare.value[_bucket(keys, len(rare.value))]))
                     left = total - np.concatenate(([0.0], np.cumsum(w[order])[:-1]))
@@ -272,11 +323,12 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
     shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
-    """The class of each row: ``doc_id, class_id, kept``. A class is what chains of links join, a link being a
+    """The class of each row: ``doc_id, class_id, kept, text_key`` (SHA-256 of the text). A class is what chains of links join, a link being a
     weighted Jaccard similarity of ``threshold`` or more between TF-IDF weighted shingles of ``shingle`` words.
-    ``class_id`` is the class's least id, whose row is the one to keep.
+    ``class_id`` is the class's least id, whose row is the one to keep. Where links are sought between classes only,
+    not all links inside a class are looked at, so that there is no count of them.
 
-    1. Document frequencies of all rows, hashed to a fixed number of classes, give the weights.
+    1. Document frequencies of all rows give the weights (:func:`inverse_frequencies`).
     2. Each text gets ``bands`` hashes of ``rows`` weighted samples. Texts of the same words are one from here on.
     3. In each band's bucket, members are compared with a pivot, the one that meets most texts in all bands; those
        that aren't of its class then are compared with the next ``PIVOTS - 1`` ones. Who still isn't is compared
@@ -285,23 +337,28 @@ def near_duplicates(
        only between classes.
     4. Candidate pairs get the exact similarity from both texts' shingles; links are joined to components.
 
-    Shuffled are ids, hashes and candidate texts' shingles, never texts; the driver gets hashed frequencies and
-    a bitmap, all of fixed size, and counts. Staged tables are in the shared folder.
+    Shuffled are ids, hashes and candidate texts' shingles, never texts; the driver gets common shingles and
+    bitmaps, of bounded size, and counts. Hot buckets and hubs meet in grouped minima, which tasks merge first, and
+    in plain shuffle joins, which adaptive execution splits. Staged tables are in the shared folder.
 
     A null id has a null class and stays. A null text or one without words is alone in its class, as is one of
-    fewer words than ``shingle`` unless another has the same words. Rows that repeat id and text share a class,
-    and are kept or dropped together; where an id has several texts, one of them stands for all in comparisons. An empty table gives no rows.
+    fewer words than ``shingle`` unless another has the same words. Rows are told by id and text: an id's other
+    texts are in classes of their own. Of a class, the row of least id, and then of least ``text_key``, is kept;
+    rows that repeat both are kept or dropped together. An empty table gives no rows.
     """
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs, text_col, shingle))
     signed = staged(signatures(docs, idf, id_col, text_col, shingle, bands, rows), "signatures")
     texts = signed.filter("d1 IS NOT NULL AND doc_id IS NOT NULL")
-    distinct = staged(texts.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "texts")
+    first = F.min(F.struct("doc_id", "text_key"))
+    distinct = texts.groupBy("d1", "d2").agg(first.alias("first"), F.first("bands").alias("bands"))
+    distinct = staged(distinct.withColumn("id", F.monotonically_increasing_id()), "texts")
     entries = distinct.select("id", F.posexplode("bands").alias("band", "hash"))
     sizes = entries.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     entries = staged(entries.join(sizes, ["band", "hash"]), "entries")
     met_most = entries.groupBy("id").agg(F.struct(F.sum("n").alias("met"), F.xxhash64(F.lit(17), "id").alias("tie"), "id").alias("rank"))
-    vectors = staged(shingle_vectors(docs, met_most.select("id"), id_col, text_col, shingle).dropDuplicates(["id"]), "vectors")
+    wanted = distinct.join(met_most, "id", "left_semi").select("id", F.col("first.doc_id").alias("doc_id"), "d1", "d2")
+    vectors = staged(shingle_vectors(docs, staged(wanted, "wanted"), id_col, text_col, shingle), "vectors")
     entries = staged(entries.join(met_most, "id").select("band", "hash", "id", "rank"), "ranked")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -328,7 +385,18 @@ def near_duplicates(
     if not rest.isEmpty():
         links = links.unionByName(linked(prefix_pairs(classed(vectors, found, "id", "root"), rest, idf, threshold)))
         found = classes(links)
-    roots = distinct.select("d1", "d2", "id").join(found, "id", "left").select("d1", "d2", F.coalesce("root", "id").alias("class_id"))
-    grouped = signed.join(roots, ["d1", "d2"], "left")
-    class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
-    return grouped.select("doc_id", class_id.alias("class_id"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
+    rooted = distinct.select("d1", "d2", "id", "first").join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    of_class = rooted.groupBy("root").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    rooted = rooted.join(of_class, "root", "left").select("d1", "d2", F.coalesce("best", "first").alias("best"))
+    grouped = signed.join(rooted, ["d1", "d2"], "left")
+    class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("best.doc_id", "doc_id"))
+    # without a class: no id, or no words
+    kept = F.coalesce((F.col("best.doc_id") == F.col("doc_id")) & (F.col("best.text_key") == F.col("text_key")), F.lit(True))
+    return grouped.select("doc_id", class_id.alias("class_id"), kept.alias("kept"), "text_key")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`near_duplicates` keeps; only rows whose id and text are those of
+    a dropped one go. Repeated rows, nulls and empty tables are as there."""
+    found = staged(near_duplicates(docs, id_col, text_col, **options).filter(~F.col("kept")), "near-copies")
+    return matched_rows(docs, found, id_col, text_key(F.col(text_col)), "left_anti")

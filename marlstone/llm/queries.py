@@ -53,8 +53,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return contaminated_words(found).drop("n_near_items")
+    return contaminated_words(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,10 +97,25 @@ ORACLE_SQL = {
         items AS (
             SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
             FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+        ),
+        wt AS (SELECT key, n, unnest(range(0, n)) AS o, unnest(string_split(key, ' ')) AS t FROM (SELECT DISTINCT key, n FROM win)),
+        dt AS (SELECT doc_id, unnest(w) AS t, unnest(range(0, len(w))) AS p FROM d),
+        few AS (
+            SELECT doc_id, key, n FROM (SELECT DISTINCT doc_id, t FROM dt) JOIN (SELECT DISTINCT key, n, t FROM wt) USING (t)
+            GROUP BY doc_id, key, n HAVING count(*) = len(list_distinct(string_split(key, ' ')))
+        ),
+        laid AS (
+            SELECT few.doc_id, few.key, few.n, p - o + delta AS s FROM few JOIN wt USING (key) JOIN dt ON dt.doc_id = few.doc_id AND dt.t = wt.t
+            CROSS JOIN (SELECT unnest(range(-2, 3)) AS delta) GROUP BY ALL HAVING count(DISTINCT o) = few.n
+        ),
+        near AS (
+            SELECT doc_id, count(DISTINCT CAST(item_id AS VARCHAR)) AS n_near FROM (SELECT DISTINCT doc_id, key FROM laid) JOIN win USING (key)
+            ANTI JOIN (SELECT DISTINCT doc_id, item_id FROM hits) USING (doc_id, item_id) GROUP BY doc_id
         )
         SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-               sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+               sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+               coalesce(n_near, 0) AS n_near_items
+        FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
     """,
     "op10_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents)

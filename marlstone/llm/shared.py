@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-BITMAP = 1 << 21
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS  # that running totals are spread over, at any size
 
@@ -21,10 +21,13 @@ BUCKETS = 1 << BUCKET_BITS  # that running totals are spread over, at any size
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Where the session names none (single-machine tests), a temporary folder is set for it once.
+    Where a session on one machine names none (tests), a temporary folder is set for it once. On a cluster a
+    temporary folder would be another one for each executor, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,6 +46,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """As :func:`staged`, in buckets of ``column``, written without a shuffle: later joins on it move the other side only."""
+    spark = df.sparkSession
+    path, table = shared_path(spark, name), f"marlstone_{uuid.uuid4().hex}"
+    # fewer buckets than shuffle partitions would be dealt anew
+    buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.bucketBy(buckets, column).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have in any case."""
     taken = {c.lower() for c in df.columns}
@@ -51,36 +64,60 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def without(df: DataFrame, ids: DataFrame, id_col: str, other: str = "doc_id") -> DataFrame:
-    """The rows of ``df``, all columns, whose id isn't among ``ids``; rows of null id stay."""
-    gone = ids.select(F.col(other).alias("gone")).distinct()
-    return df.join(gone, df[id_col] == gone["gone"], "left_anti")
+def text_key(column: Column) -> Column:
+    """The SHA-256 of a text, null counting as empty; with a row's id it tells which row is meant."""
+    return F.unhex(F.sha2(F.coalesce(column.cast("string"), F.lit("")), 256))
 
 
-def bitmap_of(ids: DataFrame, name: str, bits: int = BITMAP) -> np.ndarray:
-    """A packed bitmap of ``bits`` hashed ids, whatever their number."""
-    found = ids.select(F.pmod(F.xxhash64(name), F.lit(bits)).cast("int").alias("bit")).distinct().toArrow()["bit"].to_numpy()
-    marks = np.zeros(bits, bool)
-    marks[found] = True
-    return np.packbits(marks)
+def matched_rows(df: DataFrame, wanted: DataFrame, id_col: str, key: Column, how: str = "left_semi") -> DataFrame:
+    """The rows of ``df``, all columns, whose id and ``key`` are those of a row of ``wanted`` (``doc_id, text_key``), or
+    with ``left_anti`` the others. Ids alone don't decide: a row of the same id with another text is another row.
+    Null ids are compared like others."""
+    ids = wanted.select(F.col("doc_id").alias("_wanted_id"), F.col("text_key").alias("_wanted_key")).distinct()
+    name = unused(df, "text_key")
+    keyed = df.withColumn(name, key)
+    return keyed.join(ids, keyed[id_col].cast("long").eqNullSafe(ids["_wanted_id"]) & (keyed[name] == ids["_wanted_key"]), how).select(*df.columns)
 
 
-def among(df: DataFrame, ids: DataFrame, id_col: str, text_col: str, more: list[Column], bits: int = BITMAP) -> DataFrame:
-    """``id``, ``text`` and ``more`` of the rows of ``df`` whose id is in ``ids`` (``id``, long, distinct).
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: list[str], how: str = "inner", least: int = 1000, parts: int = 50_000) -> DataFrame:
+    """``rows`` joined to ``groups`` (one row for each value of ``keys``) where single keys may hold most rows.
 
-    A bitmap of fixed size drops most other rows where they are read; a join by id settles the rest, so that only
-    texts that are likely to be wanted are shuffled, at any size.
+    ``size`` is a group's number of rows. Groups of over n / ``parts`` rows, n being the sum of all sizes, and of
+    over ``least``, are hot; there are at most ``parts`` of them, so that their keys can be broadcast. Rows of a hot
+    group are dealt over as many salts as it is times too large, by a hash of ``spread``, and the group is repeated
+    for each, so that no key of the join has more rows than a group may have. ``groups`` is read three times.
     """
-    shared = df.sparkSession.sparkContext.broadcast(bitmap_of(ids, "id", bits))
-    rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more)
-    rows = rows.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(bits)).cast("int"))
+    most = max(least, (groups.agg(F.sum(size)).first()[0] or 0) // parts)
+    salts = F.ceil(F.col(size) / most).cast("int")
+    hot = groups.filter(F.col(size) > most).select(*keys, salts.alias("_salts"))
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
+    each = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    return salted.join(each, [*keys, "_salt"], how).drop("_salt")
+
+
+def filter_bits(rows: int, most: int = 1 << 27) -> int:
+    """Bits of a bitmap in which ``rows`` hashed keys set one in 16 or fewer, a power of two up to ``most`` (16 MB)."""
+    return min(most, max(1 << 16, 1 << (16 * max(1, rows) - 1).bit_length()))
+
+
+def bit_of(column: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(bits))
+
+
+def bitmap_of(bit: DataFrame) -> np.ndarray:
+    """The numbers in the only column of ``bit`` as a packed bitmap. They come back as bitmaps of 2**15 bits each."""
+    one = F.col(bit.columns[0]) + 1
+    found = bit.groupBy(F.bitmap_bucket_number(one).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits")).toArrow()
+    marks = np.zeros(4096 * max([1, *found["part"].to_pylist()]), np.uint8)
+    for part, own in zip(found["part"].to_pylist(), found["bits"], strict=True):
+        marks[(part - 1) * 4096 : part * 4096] = np.frombuffer(own.as_buffer(), np.uint8)
+    return marks
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(marks[batch.column(batch.num_columns - 1).to_numpy()]))
 
-    return rows.mapInArrow(likely, rows.schema).drop("bit").join(ids.hint("merge"), "id", "left_semi")
+def marked(marks: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which of ``bits`` are set."""
+    at = bits >> 3
+    return (at < len(marks)) & ((marks[np.minimum(at, len(marks) - 1)] >> (bits & 7).astype(np.uint8)) & 1).astype(bool)
 
 
 def ascii_lower(column: Column) -> Column:
