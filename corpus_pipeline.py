@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from marlstone.llm.decontaminate import contamination
+from marlstone.llm.decontaminate import drop_contaminated
 from marlstone.llm.exact_dedup import drop_exact_copies
 from marlstone.llm.language_id import known_labels, rows_with_language, train
-from marlstone.llm.near_dedup import near_duplicates
+from marlstone.llm.near_dedup import drop_near_copies
 from marlstone.llm.packing import packed
-from marlstone.llm.shared import staged, without
+from marlstone.llm.shared import staged
 
 TOKENIZER = "word_bpe_49k.json"
 ORACLE_SQL = None
@@ -29,13 +28,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the one with the least id stays."""
-    return without(docs, near_duplicates(docs).filter(~F.col("kept")), "doc_id")
+    return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item's window go."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=0)
-    return without(docs, found.filter(F.size("hits") > 0), "doc_id")
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
