@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .words import CHUNK_BYTES, LOWER, chunks, text_bytes
 
 ORDERS = (1, 2, 3)
 DIMENSIONS = 1 << 15
-ROWS_PER_LANGUAGE = 2000  # labelled rows that are learned from, for each language
-SALTS = 16
+ROWS_PER_LANGUAGE = 2000  # labelled rows that are learned from, for each language, about
+MOST_LANGUAGES = 200  # that are learned, those of most labelled rows
 TEXTS_AT_ONCE = 64  # whose counts, DIMENSIONS each, are held at a time
-MOST_LANGUAGES = 200  # with ROWS_PER_LANGUAGE it bounds the sample; more are an error
 AMBIGUOUS = 0.2  # between the scores of the best and the second language
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = LOWER.copy()
 _FOLD[:128][~((_FOLD[:128] >= 97) & (_FOLD[:128] <= 122))] = 32
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -99,55 +98,64 @@ def decode(margin: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np
     return best, ordered[:, -1], ordered[:, -2] if likely.shape[1] > 1 else np.zeros(len(likely))
 
 
+def bit_weights(counts: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Log-odds of each n-gram for each bit of ``code``, from counts by language."""
+    odds = (counts + 0.01) / (counts + 0.01).sum(1, keepdims=True)
+    bits = [np.log(odds[code[:, b] > 0].mean(0) / odds[code[:, b] < 0].mean(0)) for b in range(code.shape[1])]
+    return np.stack(bits, 1).astype(np.float32) if bits else np.zeros((counts.shape[1], 0), np.float32)
+
+
 def train(
     labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    rows_per_language: int = ROWS_PER_LANGUAGE, dimensions: int = DIMENSIONS,
+    rows_per_language: int = ROWS_PER_LANGUAGE, dimensions: int = DIMENSIONS, most_languages: int = MOST_LANGUAGES,
 ) -> Model | None:
-    """A model from ``labelled``, of which ``rows_per_language`` rows by least hash are used for each language.
+    """A model from a sample of ``labelled``, rows with an id, a text and a language.
 
-    One binary naive Bayes classifier for each bit of the code, on n-gram counts that are summed on Spark; its
-    accuracy on each language's rows, from a second pass, weights its loss. None if no row is labelled.
+    Learned are the ``most_languages`` languages of most rows (of equal ones the first by name), each from about
+    ``rows_per_language`` rows: those whose id's hash is below the share of the language's rows that gives so many.
+    Both are bounds of what is learned from, whatever the size of the table. Rows that repeat an id are in or out
+    together.
+
+    One binary naive Bayes classifier for each bit of the code, on n-gram counts that are summed on Spark. The losses
+    are weighted by the accuracy, for each language, of classifiers that three quarters of the sample have trained, on
+    the fourth. None if no row is labelled.
     """
-    ids = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).dropna()
-    ids = ids.withColumn("_hash", F.xxhash64(F.lit(9), "id"))
-    # a common language is thinned in SALTS tasks first
-    for keys in (["lang", F.pmod("_hash", F.lit(SALTS))], ["lang"]):
-        first = Window.partitionBy(*keys).orderBy("_hash", "id")
-        ids = ids.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= rows_per_language)
-    ids = ids.select("id").distinct()
-    # bounded by rows_per_language * MOST_LANGUAGES ids
-    sample = labelled.join(F.broadcast(ids), labelled[id_col] == ids["id"], "left_semi")
-    sample = sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
+    most = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    share = {r["lang"]: min(1.0, rows_per_language / r["n"]) for r in most.collect()}  # at most most_languages rows
+    if not share:
+        return None
+    shares = labelled.sparkSession.createDataFrame(list(share.items()), "lang string, share double")
+    part = (F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    fourth = F.pmod(F.xxhash64(F.lit(10), "id"), F.lit(4)) == 0
+    sample = rows.join(F.broadcast(shares), "lang").filter(part < F.col("share")).select("lang", "text", fourth.alias("fourth"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: dict[tuple[str, bool], np.ndarray] = {}
         for batch in batches:
             for lo, hi in _parts(batch.column(1)):
                 counts, _ = features(batch.column(1).slice(lo, hi - lo), dimensions)
-                langs = np.array(batch.column(0).slice(lo, hi - lo).to_pylist(), object)
-                for lang in set(langs):
+                keys = list(zip(batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(2).slice(lo, hi - lo).to_pylist(), strict=True))
+                for key in set(keys):
                     # a text weighs as much as any other, not by its length
-                    own = counts[langs == lang]
-                    own = (own * 1000 / np.maximum(own.sum(1, keepdims=True), 1)).sum(0).astype(np.float64)
-                    held[lang] = held.get(lang, 0) + own
-        for lang, own in held.items():
+                    own = counts[[k == key for k in keys]]
+                    own = np.round((own * 1000 / np.maximum(own.sum(1, keepdims=True), 1)).astype(np.float64) * 1000).sum(0)
+                    held[key] = held.get(key, 0) + own
+        for (lang, fourth), own in held.items():
             at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(np.round(own[at] * 1000), pa.float64()).cast(pa.int64())], ["lang", "feature", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([fourth] * len(at)), pa.array(at, pa.int32()), pa.array(own[at].astype(np.int64))], ["lang", "fourth", "feature", "n"])
 
-    summed = sample.mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    rows = summed.toPandas()  # languages x dimensions rows at most
-    languages = sorted(rows["lang"].unique())
+    summed = sample.mapInArrow(count, "lang string, fourth boolean, feature int, n long").groupBy("lang", "fourth", "feature").agg(F.sum("n").alias("n"))
+    found = summed.toPandas()  # at most 2 x languages x dimensions rows
+    languages = sorted(found["lang"].unique())
     if not languages:
         return None
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    dense = np.zeros((len(languages), dimensions))
-    dense[rows["lang"].map({x: k for k, x in enumerate(languages)}), rows["feature"]] = rows["n"] / 1e6
-    odds = (dense + 0.01) / (dense + 0.01).sum(1, keepdims=True)
+    dense = np.zeros((2, len(languages), dimensions))
+    dense[found["fourth"].astype(int), found["lang"].map({x: k for k, x in enumerate(languages)}), found["feature"]] = found["n"] / 1e6
     code = codewords(len(languages))
-    weights = np.stack([np.log(odds[code[:, b] > 0].mean(0) / odds[code[:, b] < 0].mean(0)) for b in range(code.shape[1])], 1) if code.shape[1] else np.zeros((dimensions, 0))
-    model = Model(languages, code, weights.astype(np.float32), np.ones(code.shape))
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
+    most_of_it = np.where(dense[0].any(1, keepdims=True), dense[0], dense[1])  # a language may have few rows
+    model = Model(languages, code, bit_weights(dense.sum(0), code), np.ones(code.shape))
+    shared = labelled.sparkSession.sparkContext.broadcast(Model(languages, code, bit_weights(most_of_it, code), model.trust))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {x: k for k, x in enumerate(shared.value.languages)}
@@ -162,7 +170,7 @@ def train(
         k, b = np.indices(right.shape)
         yield pa.RecordBatch.from_arrays([pa.array(x.ravel(), pa.int64()) for x in (k, b, right.astype(int), seen[k].astype(int))], ["lang", "bit", "right", "seen"])
 
-    judged = sample.mapInArrow(judge, "lang long, bit long, right long, seen long").groupBy("lang", "bit").agg(F.sum("right"), F.sum("seen")).collect()
+    judged = sample.filter("fourth").select("lang", "text").mapInArrow(judge, "lang long, bit long, right long, seen long").groupBy("lang", "bit").agg(F.sum("right"), F.sum("seen")).collect()
     for k, b, right, seen in judged:  # languages x bits rows
         model.trust[k, b] = (right + 1) / (seen + 2)
     model.trust *= code.shape[1] / model.trust.sum(1, keepdims=True) if code.shape[1] else 1
@@ -173,8 +181,10 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     """``doc_id, lang_pred, score, ambiguous`` for each row: the nearest codeword's language, its score from 0 to
     1, and whether the second one's score comes within ``ambiguous`` of it.
 
-    A null text, one without a letter, and any text where there is no model are ``und``, with score 0 and not
-    ambiguous. With one learned language every other text is that language's.
+    A null text, one without a letter (in Unicode's sense: digits, fractions and numerals are none), and any text where there is no model are ``und``, with score 0 and not
+    ambiguous. With one learned language every other text is that language's. Of codewords at equal distance the
+    language first by name is taken, with equal scores, so that the text is ambiguous. Repeated rows get the same
+    result each; a null id is kept; an empty table gives no rows; whole texts are read, however long.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import before, hash_bucket, phase, share_bucket, staged
@@ -22,6 +23,8 @@ CACHED_WORDS = 450_000  # of a worker; later words are encoded anew each time
 _tokenizers: dict[str, Words] = {}
 _GAP = "\x01"  # stands alone between encoded words: one piece, one id
 _TAIL = ".,!?;:"
+# Fixed value: how a tokenizer must split texts so that words may be encoded one by one.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -30,14 +33,19 @@ class Words:
     """A tokenizer whose pieces never cross white space, applied word by word with a cache.
 
     For vocabularies that lower-case, drop white space and split before punctuation that follows a letter, the ids
-    of a text are those of its words put together. Texts with the marks of special tokens are encoded whole.
+    of a text are those of its words put together. Texts with the marks of special tokens are encoded whole, and
+    all texts are where the tokenizer's own settings don't say that it works like this (``by_word``). Ids are kept
+    as 16-bit numbers; a larger vocabulary is an error.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.gap = self.tokenizer.encode(_GAP, add_special_tokens=False).ids
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("a vocabulary of more than 65,536 ids")
+        self.by_word = splits_words(json.loads(self.tokenizer.to_str()))
+        self.gap = self.tokenizer.encode(_GAP, add_special_tokens=False).ids if self.by_word else []
         self.cache: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
 
@@ -78,6 +86,8 @@ class Words:
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text."""
+        if not self.by_word:
+            return [np.frombuffer(x, np.uint16) for x in self.whole([x or "" for x in texts.to_pylist()])]
         raw, offsets = text_bytes(texts)
         special = np.array(pc.match_substring(texts, "<|").fill_null(False).to_pylist(), bool)
         black = ~SPACE[raw]
@@ -105,6 +115,17 @@ class Words:
         return each
 
 
+def splits_words(settings: dict) -> bool:
+    """Whether a tokenizer's settings are those under which :class:`Words` may encode word by word."""
+    parts = (settings.get("normalizer") or {}).get("normalizers", [])
+    split = ((settings.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return (
+        {x["type"] for x in parts} == {"NFC", "Replace", "Lowercase"} and all(x["content"] == " " and x["pattern"] == {"Regex": r"\s+"} for x in parts if x["type"] == "Replace")
+        and split.get("type") == "Split" and split["pattern"] == {"Regex": SPLIT} and split["behavior"] == "Removed" and split["invert"]
+        and all(x["content"].startswith("<|") for x in settings["added_tokens"])
+    )
+
+
 def words_of(path: str) -> Words:
     if path not in _tokenizers:
         _tokenizers[path] = Words(path)
@@ -145,8 +166,12 @@ def packed(
     adds ``w`` to each queue's credit serves them, queues starting with seeded credits of less than a quantum
     (so that many small sources don't come up all at once) and carrying what is left on without end. So at every token of the whole output, and in every window, each source
     that has tokens left is within one quantum of its share, whichever task works on it. Sources that run out
-    leave their share to the others. ``shares`` gives target proportions by source; by default, and for sources
-    that it doesn't name, they are the sources' own parts of all tokens, so that all end together.
+    leave their share to the others.
+
+    ``shares`` are target proportions of all tokens, by source. Sources that it doesn't name share what is left of 1,
+    each by its part of their tokens; names without documents are skipped. A share of 0 (also that of unnamed
+    sources where nothing is left for them) is served after all others. Negative shares and sums over 1 are errors.
+    By default shares are the sources' own parts of all tokens, so that all end together and every window has them.
 
     The stream of quanta is cut at every ``window`` tokens: sequences are full but for the last one.
 
@@ -161,21 +186,15 @@ def packed(
         F.xxhash64(F.lit(11), "doc_id").alias("_hash"),
     ).withColumn("_bucket", hash_bucket(F.col("_hash")))
     queue = before(queue, ["_from"], "_bucket", ["_hash", "doc_id", "row"], "doc_tokens", "_first", "_total")
-    share = F.col("_total").cast("double")
-    if shares:
-        share = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in shares.items() for x in kv)), F.col("source")).cast("double"), share)
     # a document's tokens, cut where the queue's quanta end
     spans = F.sequence(F.expr(f"_first div {quantum}"), F.expr(f"(_first + doc_tokens - 1) div {quantum}"))
-    cut = queue.withColumn("_share", share).withColumn("_quantum", F.explode(spans))
+    cut = queue.withColumn("_quantum", F.explode(spans))
     low, high = F.greatest(F.col("_quantum") * quantum, F.col("_first")), F.least((F.col("_quantum") + 1) * quantum, F.col("_first") + F.col("doc_tokens"))
     whole = F.least(F.lit(quantum), F.col("_total") - F.col("_quantum") * quantum)
-    cut = cut.select(
-        "row", "_from", "_quantum", (low - F.col("_first")).alias("start"), (high - low).alias("length"),
-        ((F.col("_quantum") * quantum + phase(F.col("_from")) * whole) / F.col("_share")).alias("_due"), "_first",
-    )
-    latest = (cut.agg(F.max("_due")).first()[0] or 1.0) if shares else 1.0
-    cut = cut.withColumn("_bucket", share_bucket(F.col("_due") / latest))
-    placed = before(cut, [], "_bucket", ["_due", "_from", "_quantum", "_first", "start"], "length", "_at", "_all")
+    part = (F.col("_quantum") * quantum + phase(F.col("_from")) * whole) / F.col("_total")  # of the queue, before the quantum's point
+    late, due, progress = _times(tokens, shares, part)
+    cut = cut.select("row", "_from", "_quantum", (low - F.col("_first")).alias("start"), (high - low).alias("length"), late.alias("_late"), due.alias("_due"), share_bucket(progress).alias("_bucket"), "_first")
+    placed = before(cut, [], "_bucket", ["_late", "_due", "_from", "_quantum", "_first", "start"], "length", "_at", "_all")
     sequences = F.sequence(F.expr(f"_at div {window}"), F.expr(f"(_at + length - 1) div {window}"))
     placed = placed.withColumn("sequence_id", F.explode(sequences))
     s, e = F.greatest(F.col("sequence_id") * window, F.col("_at")), F.least((F.col("sequence_id") + 1) * window, F.col("_at") + F.col("length"))
@@ -189,6 +208,39 @@ def packed(
     return _summed(tokens.join(by_row, "row"))
 
 
+def _times(tokens: DataFrame, shares: dict[str, float] | None, part: Column) -> tuple[Column, Column, Column]:
+    """Whether a source is served after all others, when a token is due that has ``part`` of its source before it, and
+    about which part of the output then is before it, which rises with both.
+
+    Time is counted in tokens of the output: a source of share ``w`` is due ``w`` at each. Where it has ``n`` tokens in all,
+    ``min(n, w t)`` of them are due by ``t``; the sum of that over sources is the progress. Only totals of the sources
+    that ``shares`` names, and one of all others, are needed.
+    """
+    if not shares:
+        return F.lit(0), part, part
+    if min(shares.values()) < 0 or sum(shares.values()) > 1 + 1e-9:
+        raise ValueError("shares are at least 0, and at most 1 in all")
+    name = F.when(F.col("source").isin(list(shares)), F.col("source"))
+    totals = {r["name"]: r["n"] for r in tokens.groupBy(name.alias("name")).agg(F.sum("doc_tokens").alias("n")).collect()}  # of names in shares
+    left = max(0.0, 1 - sum(shares.values()))
+    own = {x: (float(w), totals[x]) for x, w in shares.items() if x in totals} | ({None: (left if left > 1e-9 else 0.0, totals[None])} if None in totals else {})
+    served, late = {x: v for x, v in own.items() if v[0] > 0}, sum(n for w, n in own.values() if not w)
+    all_ = max(1, sum(n for _, n in own.values()))
+
+    def of(value) -> Column:
+        """A number for each source."""
+        out = F.lit(value(None) if None in own else 0.0)
+        for x in own:
+            if x is not None:
+                out = F.when(F.col("source") == x, F.lit(value(x))).otherwise(out)
+        return out
+
+    due = part * of(lambda x: own[x][1] / own[x][0] if own[x][0] else float(late))
+    progress = sum((F.least(F.lit(float(n)), due * w) for w, n in served.values()), F.lit(0.0))
+    is_late = of(lambda x: 0.0 if own[x][0] else 1.0)
+    return is_late, due, F.when(is_late > 0, F.lit(float(all_ - late)) + due).otherwise(progress) / all_
+
+
 def _summed(rows: DataFrame) -> DataFrame:
     """A row for each piece, with the CRC-32 of its ids as little-endian 32-bit numbers."""
 

@@ -120,6 +120,20 @@ def marked(marks: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (at < len(marks)) & ((marks[np.minimum(at, len(marks) - 1)] >> (bits & 7).astype(np.uint8)) & 1).astype(bool)
 
 
+def with_likely(rows: DataFrame, keys: list[Column], wanted: DataFrame, wanted_keys: list[Column], name: str) -> DataFrame:
+    """``rows`` with ``name``: false for most rows whose ``keys`` aren't in ``wanted``, true for all that are.
+
+    Hashed keys are a bitmap of at most 2**26 bits, as a broadcast table of its 64-bit words, so that rows with
+    large columns needn't be shuffled to learn that nothing is joined to them. No Python is involved.
+    """
+    bits = filter_bits(wanted.count(), 1 << 26)
+    hashed = lambda own: F.pmod(F.xxhash64(*own), F.lit(bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("_bit", F.lit(64)).cast("int"))
+    words = wanted.select(hashed(wanted_keys).alias("_bit")).groupBy(F.expr("_bit div 64").alias("_word")).agg(F.bit_or(one).alias("_bits"))
+    marked_ = rows.withColumn("_bit", hashed(keys)).withColumn("_word", F.expr("_bit div 64")).join(F.broadcast(words), "_word", "left")
+    return marked_.withColumn(name, F.coalesce(F.getbit("_bits", F.pmod("_bit", F.lit(64)).cast("int")) == 1, F.lit(False))).drop("_bit", "_word", "_bits")
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(column, UPPER, LOWER)

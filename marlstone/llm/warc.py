@@ -12,12 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_path
+from .shared import shared_path, spread_join, staged, with_likely
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS_PER_FILE = 2000
-SALTS = 16
+FILE_BYTES, RECORDS_PER_FILE = 256 << 20, 2000  # of payload in a file, about, and at most
 END = "\r\n"
 
 
@@ -39,34 +38,41 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     })
 
 
-def resolve_revisits(records: DataFrame, least_bytes: int = 0, salts: int = SALTS) -> DataFrame:
+def resolve_revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
     """``records`` with their ``record_type`` settled and ``refers_to``, the page id of a revisit's original.
 
     Headers alone are shuffled by payload digest (with SHA-256 and length, as equal SHA-1 can be contrived); each
     task merges what it reads. The response with the largest page id is the original; other responses of
     ``least_bytes`` or more become revisits, and records that are revisits already are joined to it by digest.
-    Only digests of several records take part in the join, and they are repeated for each salt, so that a digest
-    held by a third of all records is spread over ``salts`` keys.
+    Only digests of several records take part in that join (:func:`spread_join`, for digests that a third of all
+    records may have). Payloads are joined to the decisions only where a record may be a revisit.
 
     Rows that repeat a page id with its payload are all responses if it is the largest id. A null id is never an
     original unless all are null. A revisit without a response of its digest keeps a null ``refers_to``.
     """
     keys = ["payload_digest", "_sha", "payload_bytes"]
     rows = records.withColumn("_sha", F.coalesce(F.when(F.col("record_type") == "response", F.sha2("payload", 256)), F.lit("")))
+    size = F.coalesce("payload_bytes", F.lit(-1))  # revisits may not have one
+    headers = rows.select("page_id", "record_type", *keys[:2], size.alias("payload_bytes")).filter(f"payload_bytes < 0 OR payload_bytes >= {least_bytes}")
+    headers = staged(headers, "headers")
     original = F.max(F.when(F.col("record_type") == "response", F.col("page_id")))
-    groups = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy(*keys).agg(original.alias("_original"), F.count(F.lit(1)).alias("_n"))
-    lone = rows.filter(F.col("record_type") != "response").select("payload_digest", "payload_bytes").distinct()
+    counted = headers.groupBy(*keys).agg(original.alias("_original"), F.count(F.lit(1)).alias("_n"))
     # revisits have no payload to hash again: their digest finds the responses
-    more = groups.filter("_sha <> ''").join(lone, ["payload_digest", "payload_bytes"]).select(
-        "payload_digest", F.lit("").alias("_sha"), "payload_bytes", "_original", F.lit(2).alias("_n")
-    )
-    groups = groups.filter("_sha <> '' AND _n > 1").unionByName(more).drop("_n").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(groups, [*keys, "_salt"], "left")
-    response = (F.col("record_type") == "response") & (F.col("_original").isNull() | F.col("page_id").eqNullSafe(F.col("_original")))
-    return joined.select(
-        "page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(response, "response").otherwise("revisit").alias("record_type"),
-        F.when(~response, F.col("_original")).alias("refers_to"),
-    )
+    responses = counted.filter("_sha <> ''").groupBy("payload_digest").agg(F.max("_original").alias("_found"))
+    lone = counted.filter("_sha = ''").join(responses, "payload_digest").select(*keys, F.col("_found").alias("_original"), "_n")
+    groups = staged(counted.filter("_sha <> '' AND _n > 1").unionByName(lone), "groups")
+    own = spread_join(headers, groups, keys, "_n", ["page_id"])
+    again = (F.col("record_type") != "response") | (F.col("_original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_original")))
+    revisits = staged(own.filter(again).select("page_id", *keys, "_original").distinct(), "revisits")
+    same = [F.col("page_id"), F.col("payload_digest"), F.col("_sha")]
+    likely = with_likely(rows, same, revisits, same, "_likely")
+    columns = ["page_id", "url", "payload", "payload_bytes", "payload_digest"]
+    alone = likely.filter("NOT _likely").select(*columns, "record_type", F.lit(None).cast("long").alias("refers_to"))
+    r = revisits.select(*(F.col(c).alias(f"r_{c}") for c in ("page_id", "payload_digest", "_sha")), "_original", F.lit(True).alias("_again"))
+    on = likely["page_id"].eqNullSafe(r["r_page_id"]) & (likely["payload_digest"] == r["r_payload_digest"]) & (likely["_sha"] == r["r__sha"])
+    kind = F.when(F.col("_again"), "revisit").otherwise(F.col("record_type"))
+    joined = likely.filter("_likely").join(r, on, "left").select(*columns, kind.alias("record_type"), F.col("_original").alias("refers_to"))
+    return alone.unionByName(joined)
 
 
 def record_id(page: Column, digest: Column) -> Column:
@@ -76,7 +82,8 @@ def record_id(page: Column, digest: Column) -> Column:
 
 
 def write_archives(records: DataFrame, path: str, date: str = DATE, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Writes resolved records as gzipped WARC 1.1 files with fresh headers; revisits have no payload.
+    """Writes resolved records as gzipped WARC 1.1 files with fresh headers; revisits have no payload. A file is one
+    gzip stream of at most ``records_per_file`` records; it is read back whole, so it must stay under 2 GiB.
 
     A record ends with two line breaks, which Spark's text writer puts after each row.
     """
@@ -149,11 +156,13 @@ def archived_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     ``page_id, payload_bytes, payload_digest, record_type, refers_to``. A revisit's size and digest are those of
     its original's payload, found by joining records on the original's id.
 
-    A null html is an empty payload, a null url ``urn:unknown``. An empty table writes no record and gives no rows.
+    A null html is an empty payload, a null url ``urn:unknown``. An empty table writes no record and gives no rows;
+    other columns are ignored. Long pages make files of fewer records.
     """
     path = shared_path(pages.sparkSession, "archives")
-    write_archives(resolve_revisits(page_records(pages, id_col, url_col, html_col), least_bytes), path)
-    records = read_archives(pages.sparkSession, path)
+    mean = pages.agg(F.avg(F.octet_length(html_col))).first()[0] or 0
+    write_archives(resolve_revisits(page_records(pages, id_col, url_col, html_col), least_bytes), path, records_per_file=max(1, min(RECORDS_PER_FILE, int(FILE_BYTES / (mean + 1)))))
+    records = staged(read_archives(pages.sparkSession, path), "records")
     own = records.filter("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
     originals = records.filter("record_type = 'response'").select(
         F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest"
