@@ -122,14 +122,15 @@ def _distinct(row: dict, wanted: np.ndarray | None, order: int) -> tuple[np.ndar
     parts = []
     for mine, key, own, first in _parts(row, wanted, order):
         keys, at, n = np.unique(key, return_index=True, return_counts=True)
-        parts.append((keys, mine[np.searchsorted(first, at, "right") - 1], own[at], n))
+        if len(keys):
+            parts.append((keys, mine[np.searchsorted(first, at, "right") - 1], own[at], n))
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, order), np.uint32), np.zeros(0, np.int64)
     keys, text, own, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order_ = np.argsort(keys, kind="stable")
-    at = order_[np.flatnonzero(np.concatenate(([True], keys[order_][1:] != keys[order_][:-1])))]
-    total = np.add.reduceat(n[order_], np.flatnonzero(np.concatenate(([True], keys[order_][1:] != keys[order_][:-1]))))
-    return keys[at], text[at], own[at], total
+    by_key = np.argsort(keys, kind="stable")
+    new = np.flatnonzero(np.concatenate(([True], np.diff(keys[by_key]) != 0)))
+    at = by_key[new]
+    return keys[at], text[at], own[at], np.add.reduceat(n[by_key], new)
 
 
 def _strings(own: np.ndarray) -> pa.Array:

@@ -143,7 +143,7 @@ def train(
                     held[key] = held.get(key, 0) + own
         for (lang, fourth), own in held.items():
             at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([fourth] * len(at)), pa.array(at, pa.int32()), pa.array(own[at].astype(np.int64))], ["lang", "fourth", "feature", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([fourth] * len(at), pa.bool_()), pa.array(at, pa.int32()), pa.array(own[at].astype(np.int64))], ["lang", "fourth", "feature", "n"])
 
     summed = sample.mapInArrow(count, "lang string, fourth boolean, feature int, n long").groupBy("lang", "fourth", "feature").agg(F.sum("n").alias("n"))
     found = summed.toPandas()  # at most 2 x languages x dimensions rows
