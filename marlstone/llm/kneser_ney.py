@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .shared import staged, staged_by
 from .words import chunks, mixed, text_bytes
 
-ORDER = 5  # characters of an n-gram
+ORDER = 4  # characters of an n-gram
 BLOCK_BYTES = 16 << 20  # of text in a block; a longer text is one by itself
 LOW, HIGH = 0.01, 0.99  # quantiles of a language's trusted texts
 SPACE, ODD = 32, 0xFFFD  # white space of any kind and length; NUL
@@ -240,12 +240,12 @@ def resolved(asked: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], si
 def perplexities(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], order: int = ORDER) -> DataFrame:
     """``doc_id, lang, symbols, perplexity`` of each document; null perplexity for a null language or one without a
     model, and for an empty text. Each block's n-grams are joined to the model and their logarithms sent back to it."""
-    asked = asked_grams(blocks, order)
-    tried = asked.join(model[order][0], ["lang", "gram"], "left")
-    seen = tried.filter("p IS NOT NULL").select("block", "place", "p")
+    tried = asked_grams(blocks, order).join(model[order][0], ["lang", "gram"], "left")
+    own = lambda name: F.when(F.col("p").isNull(), F.col(name)).alias(name)
+    tried = staged(tried.select("block", "place", own("lang"), own("gram"), "p"), "tried")
     unseen = tried.filter("p IS NULL").select("block", "place", "lang", "gram")
     lower = resolved(unseen.select("lang", "gram").distinct(), model, order)
-    answers = seen.unionByName(unseen.join(lower, ["lang", "gram"]).select("block", "place", "p"))
+    answers = tried.filter("p IS NOT NULL").select("block", "place", "p").unionByName(unseen.join(lower, ["lang", "gram"]).select("block", "place", "p"))
     # a block's answers, at most one for each of its symbols
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("place", F.log("p").cast("float").alias("log"))).alias("answers"))
 
