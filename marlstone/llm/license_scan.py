@@ -95,9 +95,52 @@ OTHERS = [
     ("noncommercial", r"for non ?commercial use only", ("noncommercial", "commercial"), 40, 0.6), ("noncommercial", r"not for commercial use", ("commercial",), 40, 0.6),
     ("permission", r"used (?:with|by) permission", ("permission",), 20, 0.4), ("share-alike", r"share ?alike licen[sc]e", ("licence", "license"), 25, 0.5),
 ]
+#: Sentences of the licences themselves and of the notices that they ask for: label, sentence, score.
+TEXTS = [
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 0.95),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", 0.8),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability", 0.8),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 0.95),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice", 0.9),
+    ("bsd", "this software is provided by the (?:copyright holders?|regents|authors?)(?: and contributors)? as is and any express or implied warranties", 0.9),
+    ("bsd-3-clause", "may be used to endorse or promote products derived from this software without specific prior written permission", 0.9),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", 0.95),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty", 0.9),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", 0.95),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", 0.8),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", 0.95),
+    ("lgpl", "you should have received a copy of the gnu (?:lesser|library) general public license", 0.95),
+    ("agpl", "you should have received a copy of the gnu affero general public license", 0.95),
+    ("apache-2.0", "you may not use this file except in compliance with the license", 0.9),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 0.9),
+    ("apache-2.0", "licensed to the apache software foundation asf under one or more contributor license agreements", 0.95),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", 1.0),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1", 1.0),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", 0.95),
+    ("cddl-1.0", "the contents of this file are subject to the terms of the common development and distribution license", 1.0),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 0.95),
+    ("zlib", "the origin of this software must not be misrepresented", 0.9),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", 0.95),
+    ("boost-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", 0.95),
+    ("ofl-1.1", "this font software is licensed under the sil open font license", 0.95),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", 0.95),
+    ("beerware", "as long as you retain this notice you can do whatever you want with this stuff", 0.95),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", 0.95),
+    ("artistic", "the copyright holder maintains some semblance of artistic control over the development of the package", 0.9),
+    ("cc0-1.0", "the person who associated a work with this deed has dedicated the work to the public domain", 0.95),
+    ("cc-by", "you are free to share copy and redistribute the material in any medium or format", 0.7),
+    ("cc-by", "you must give appropriate credit provide a link to the license and indicate if changes were made", 0.8),
+    ("cc-by-nc", "you may not use the material for commercial purposes", 0.7),
+    ("cc-by-sa", "if you remix transform or build upon the material you must distribute your contributions under the same license as the original", 0.85),
+    ("cc-by-nd", "if you remix transform or build upon the material you may not distribute the modified material", 0.85),
+    ("reserved", "no part of this (?:publication|book|work|document) may be reproduced", 0.8),
+    ("reserved", "reproduction in whole or in part without (?:written )?permission is prohibited", 0.8),
+    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited", 0.95),
+    ("proprietary", "this (?:software|document|file) contains confidential and proprietary information", 0.8),
+]
 GRANT = r"(?:licensed|licenced|released|distributed|published|available|provided|shared|covered) (?:to you )?(?:under|by|with) (?:the terms (?:and conditions )?of )?"
-GRANT_WORDS = ("licensed", "licenced", "released", "distributed", "published", "available", "provided", "shared", "covered")
-LICENSE_WORDS = ("license", "licence", "licenses", "licences")
+#: Words that don't gate a rule, as too many texts have them.
+COMMON = frozenset("license licence licenses licences public general software open source version the of and to in is it this that with any or by for may not you be as all own one new want what do work file common style creative zero".split())
 
 
 @dataclass(frozen=True)
@@ -109,8 +152,22 @@ class Rule:
     score: float
 
 
+def gate(pattern: str) -> tuple[str, ...]:
+    """Words of which each match of ``pattern`` has one: the longest that isn't common and isn't in a part that may be
+    left out or has alternatives, also with a digit joined to it where a space before a version may be left out."""
+    bare = pattern
+    while (shorter := re.sub(r"\(\?:[^()]*\)(?:\?|\{\d,\d+\}\?)?", " | ", bare)) != bare:
+        bare = shorter
+    bare = re.sub(r"\.\{\d+,\d+\}\?|\S\?|\[[^]]*\]", lambda m: " " if m[0] == " ?" else " | ", bare)
+    words = re.findall(r"[^\W_]+", re.sub(r"\S*\|\S*", " ", bare))
+    words = sorted((w for w in words if len(w) > 1), key=lambda w: (w not in COMMON and not w.isdigit(), len(w)))
+    if not words:
+        raise ValueError(f"no word that every match of {pattern!r} has")
+    return (words[-1], *(f"{words[-1]}{d}" for d in range(10))) if V in pattern else (words[-1],)
+
+
 def rules() -> list[Rule]:
-    """All rules, highest priority first. Licences give an SPDX tag, a grant and a mention for each name, and a web
+    """All rules, highest priority first; each is gated by its rarest word (:func:`gate`). Licences give an SPDX tag, a grant and a mention for each name, and a web
     address; Creative Commons licences give all combinations of elements and versions."""
     out: list[Rule] = []
     for label, (names, tags, phrases) in LICENSES.items():
@@ -119,9 +176,10 @@ def rules() -> list[Rule]:
             out.append(Rule(label, rf"spdx license identifier:? {tag}", ("spdx",), 100 + exact, 1.0))
             out.append(Rule(label, rf"opensource org licen[sc]es? {tag}", ("opensource",), 95, 1.0))
         for name in names:
-            out.append(Rule(label, rf"{GRANT}{THE}{name}(?: licen[sc]e)?", GRANT_WORDS, 80 + 5 * exact, 0.95))
-            out.append(Rule(label, rf"{name} licen[sc]e" if "license" not in name else name, LICENSE_WORDS, 60 + 5 * exact, 0.9))
-        out += [Rule(label, phrase, (max(re.findall("[a-z]{4,}", phrase), key=len),), 90, 0.95) for phrase in phrases]
+            out.append(Rule(label, rf"{GRANT}{THE}{name}(?: licen[sc]e)?", gate(name), 80 + 5 * exact, 0.95))
+            out.append(Rule(label, rf"{name} licen[sc]e" if "license" not in name else name, gate(name), 60 + 5 * exact, 0.9))
+        out += [Rule(label, phrase, gate(phrase), 90, 0.95) for phrase in phrases]
+    out += [Rule(label, text, gate(text), 88, score) for label, text, score in TEXTS]
     for key, words in ELEMENTS.items():
         for version in VERSIONS:
             label = f"cc-by{key}-{version.replace(' ', '.')}"
@@ -139,7 +197,7 @@ class Scanner:
         self.rules = found
         self.patterns = [re.compile(rf"(?<![^ ])(?:{r.pattern})(?![^ ])") for r in found]
         self.phrases = [(re.compile(rf"(?<![^ ]){p}(?![^ ])"), label) for p, label in PHRASES.items()]
-        words = sorted({w for r in found for w in r.keywords} | {p.split()[-1] for p in PHRASES} | {p.split()[0] for p in PHRASES})
+        words = sorted({w for r in found for w in r.keywords} | {max(p.split(), key=lambda w: (w not in COMMON, len(w))) for p in PHRASES})
         self.by_keyword = {w: [k for k, r in enumerate(found) if w in r.keywords] for w in words}
         hashes = find_words(pa.array([" ".join(words)])).hashes
         order = np.argsort(hashes)
@@ -176,8 +234,9 @@ def scan_licenses(docs: DataFrame, found: list[Rule] | None = None, id_col: str
     and only by the rules of their keywords. Rules run from the highest priority; a detection that lies inside a
     kept one, or around kept ones, is dropped. Every row is worked on where it is read, without a shuffle.
 
-    Nulls: a null text counts as empty, without words; a null id is kept. Repeated rows are scanned each. An
-    empty table gives no rows.
+    Nulls: a null text counts as empty, without words; a null id is kept. Repeated rows are scanned each. Of detections
+    of one priority the earlier, then the longer, then the rule first in order is kept. Whole texts are read,
+    however long. An empty table gives no rows.
     """
     found = rules() if found is None else found
 
@@ -190,10 +249,11 @@ def scan_licenses(docs: DataFrame, found: list[Rule] | None = None, id_col: str
                 hit = np.flatnonzero(scanner.hashes[at] == words.hashes)
                 doc = np.searchsorted(words.first, hit, "right") - 1
                 base, detections = [[] for _ in range(lo, hi)], [[] for _ in range(lo, hi)]
-                for d in np.unique(doc):
+                own, first = np.unique(doc, return_index=True)
+                for d, mine in zip(own, np.split(at[hit], first[1:]), strict=False):  # no hit: one empty part
                     s, e = words.offsets[d], words.offsets[d + 1]
                     joined = b" ".join(re.findall(rb"[0-9a-z\x80-\xff]+", words.data[s:e].tobytes())).decode("utf-8", "replace")
-                    places, kept = scanner.scan(joined, [scanner.keywords[k] for k in np.unique(at[hit[doc == d]])])
+                    places, kept = scanner.scan(joined, [scanner.keywords[k] for k in np.unique(mine)])
                     base[d] = [{"start": a, "end": b, "label": c} for a, b, c, _ in places]
                     detections[d] = [{"start": a, "end": b, "label": c, "priority": scanner.rules[k].priority, "score": scanner.rules[k].score} for a, b, c, k in kept]
                 yield pa.RecordBatch.from_arrays([
