@@ -39,6 +39,8 @@ WORDS = (
     "porque siempre cuando trabajo ciudad empresa desarrollo nacional pregunta"
 ).split()
 
+ROWS = ("qwertyuiop-asdfghjkl", "zxcvbnm-asdfghjkl", "qwertzuiop-yxcvbnm", "azertyuiop-qsdfghjklm", "abcdefghijklmnopqrstuvwxyz", "1234567890-0987654321")  # of keys
+
 
 @dataclass
 class MarkovRatio:
@@ -52,7 +54,7 @@ class MarkovRatio:
 
 def labelled_strings(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     """``text, label``: ``n`` random strings (1: digests and keys in hexadecimal, base 64 and base 62) and ``n``
-    ordinary ones (0: identifiers in several styles, paths, words run together, long numbers), with four runs of each
+    ordinary ones (0: identifiers in several styles, paths, words run together, long numbers, times, rows of keys), with four runs of each
     character."""
     i = F.col("id").cast("string")
     digest = F.sha2(F.concat(F.lit("k"), i), 512)
@@ -70,6 +72,8 @@ def labelled_strings(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     ordinary = [
         F.concat_ws("_", *w), F.concat(w[0], *up[1:]), F.concat(*up), F.concat_ws("-", *w), F.upper(F.concat_ws("_", *w)), F.concat_ws("/", *w),
         F.concat(*w), F.upper(F.concat(*w)), F.concat_ws("_", *w[:3], two), number, F.concat_ws("/", F.lit("2024"), two, *w[:3]),
+        F.date_format(F.timestamp_seconds(F.pmod(F.xxhash64(F.lit("t"), "id"), F.lit(2_000_000_000))), "yyyy-MM-dd'T'HH-mm-ss-SSS"), F.concat_ws("-", F.concat_ws("_", w[0], two), w[1], number),
+        F.concat(F.element_at(F.array(*map(F.lit, ROWS)), (F.pmod(F.xxhash64(F.lit("q"), "id"), F.lit(len(ROWS))) + 1).cast("int")), F.lit("-"), w[0]),
     ]
     ids = spark.range(n)
     each = spark.range(4 * len(ALPHABET)).select(F.repeat(F.element_at(F.split(F.lit(ALPHABET), ""), (F.pmod("id", F.lit(len(ALPHABET))) + 1).cast("int")), F.lit(30)).alias("text"), F.lit(0).alias("label"))

@@ -304,6 +304,30 @@ def test_licenses(docs, none, clash, spark):
     assert len(license_scan.rules()) > 200 and license_scan.scan_licenses(none).count() == 0 and license_scan.scan_licenses(clash).count() == 3
 
 
+def test_the_keyword_gate_hides_nothing(spark):
+    """Rules on whole texts without a gate find what they find behind it: sample texts, and strings of each rule."""
+    import re
+
+    from marlstone.llm import queries as q
+    from marlstone.llm.words import PATTERN
+
+    scanner = license_scan.Scanner(license_scan.rules())
+    texts = [r.text for r in q.table(spark, "/root/testdata/sf0.001", "documents").collect()]
+    for r in scanner.rules:
+        full = re.sub(r"\(\?:([^()|]*)[^()]*\)\??", r"\1", re.sub(r"\(\?:([^()|]*)[^()]*\)\??", r"\1", r.pattern)).replace("[sc]", "s").replace(r"\d\d", "24").replace("[123]", "2").replace(".{1,80}?", "some").replace("?", "")
+        short = re.sub(r"\(\?:[^()]*\)\?", "", r.pattern.replace(license_scan.GRANT, "licensed under ").replace(" ?", "")).replace("[sc]", "c").replace("?", "")
+        texts += [f"x {full} y", f"x {short} y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found, seen = by_id(license_scan.scan_licenses(docs)), set()
+    for k, text in enumerate(texts):
+        joined = " ".join(re.findall(PATTERN, re.sub("[A-Z]", lambda m: m[0].lower(), text or "")))
+        places, kept = scanner.scan(joined, scanner.keywords)
+        assert [(x.start, x.end, x.label) for x in found[k].base] == [x[:3] for x in places]
+        assert [(x.start, x.end, x.label) for x in found[k].detections] == [x[:3] for x in kept]
+        seen |= {x[3] for x in kept}
+    assert len(seen) > 0.8 * len(scanner.rules)
+
+
 def test_contamination(docs, none, clash, spark):
     items = spark.createDataFrame([(1, "Same text"), (2, None), (3, ""), (4, "words that stand"), (5, "same TEXT!")], "item_id long, text string")
     found = by_id(decontaminate.contaminated_words(decontaminate.contamination(docs, items)))
@@ -374,6 +398,27 @@ def test_secrets_joined_to_ordinary_text(spark):
     assert found.filter("n_random > 0").count() == 0
 
 
+def test_secrets_held_out(spark):
+    """On names of the standard library, which the samples don't hold, and on other random strings than theirs."""
+    import ast
+    import base64
+    import json
+    import sys
+
+    names = set()
+    for module in (ast, json, base64, pytest, np, pa, hashlib, sys.modules["asyncio"] if "asyncio" in sys.modules else ast, spark.__class__, __import__("unittest"), __import__("socket"), __import__("ssl"), __import__("pyspark.sql.functions", fromlist=["x"])):
+        names |= {n for n in dir(module) if len(n) >= 4}
+    names = sorted(names)
+    rng = np.random.default_rng(11)
+    plain = [n for n in names if len(n) >= 20] + ["_".join(rng.choice(names, 3)) for _ in range(600)] + ["/".join(rng.choice(names, 4)) for _ in range(300)]
+    keys = [base64.b64encode(rng.bytes(24)).decode() for _ in range(300)] + [rng.bytes(20).hex().upper() for _ in range(300)] + ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 32)) for _ in range(300)]
+    model = secrets.train(secrets.labelled_strings(spark))
+    flagged = {r.doc_id for r in secrets.secret_counts(secrets.find_secrets(spark.createDataFrame(list(enumerate(plain + keys)), "doc_id long, text string"), model)).filter("n_random > 0").collect()}
+    wrong, right = sum(k < len(plain) for k in flagged), sum(k >= len(plain) for k in flagged)
+    print(len(plain), len(keys), wrong, right)
+    assert wrong <= 0.03 * len(plain) and right >= 0.95 * len(keys)
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a", "x\r\n\r\ny"), (2, None, "x\r\n\r\ny"), (3, "u v\n", None), (4, "b", ""), (5, "c", "WARC/1.1\r\n\r\n"), (9, "http://a", "x\r\n\r\ny"), (9, "http://a", "x\r\n\r\ny"), (10, "z", "é" * 200_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
