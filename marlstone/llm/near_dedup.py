@@ -18,7 +18,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 3  # a pair at the threshold meets in a band with probability 0.9998
 RAREST = 1e-3  # share of texts; a shingle in fewer weighs as one in so many
 CANDIDATES = 1 << 22  # bits of the bitmap of shingles that may be in more
-HELD = 1 << 22  # shingles that a task counts at a time
+HELD = 1 << 21  # shingles that a task counts at a time
 PIVOTS = 6  # of a bucket, before texts are compared with all that may be alike
 COUNTERS = 1 << 20  # for the order of shingles from rare to frequent
 
@@ -91,15 +91,18 @@ def inverse_frequencies(docs: DataFrame, text_col: str = "text", shingle: int =
                 held.append(keys)
                 size, n = size + len(keys), n + hi - lo
                 if size >= HELD:
-                    yield np.concatenate(held), n
-                    held, size, n = [], 0, 0
+                    own, held = np.concatenate(held), []
+                    yield own, n
+                    size, n = 0, 0
         if held:
             yield np.concatenate(held), n
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, n in parts(batches):
-            found, times = np.unique(keys, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(_bucket(found[times >= rarest * n], CANDIDATES))], ["bit"])
+            keys.sort()
+            more = max(0, int(np.ceil(rarest * n)) - 1)  # of the same, next to each other
+            found = keys[: len(keys) - more][keys[more:] == keys[: len(keys) - more]]
+            yield pa.RecordBatch.from_arrays([pa.array(_bucket(np.unique(found), CANDIDATES))], ["bit"])
 
     # where a table has many small files, a task reads several, so that few texts don't make much look common
     wide = texts.coalesce(max(1, int(total * rarest / 4)))

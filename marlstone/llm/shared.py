@@ -72,11 +72,13 @@ def text_key(column: Column) -> Column:
 def matched_rows(df: DataFrame, wanted: DataFrame, id_col: str, key: Column, how: str = "left_semi") -> DataFrame:
     """The rows of ``df``, all columns, whose id and ``key`` are those of a row of ``wanted`` (``doc_id, text_key``), or
     with ``left_anti`` the others. Ids alone don't decide: a row of the same id with another text is another row.
-    Null ids are compared like others."""
+    Null ids are compared like others. Only rows whose id may be wanted (:func:`with_likely`) are shuffled."""
     ids = wanted.select(F.col("doc_id").alias("_wanted_id"), F.col("text_key").alias("_wanted_key")).distinct()
-    name = unused(df, "text_key")
-    keyed = df.withColumn(name, key)
-    return keyed.join(ids, keyed[id_col].cast("long").eqNullSafe(ids["_wanted_id"]) & (keyed[name] == ids["_wanted_key"]), how).select(*df.columns)
+    id_ = F.col(id_col).cast("long")
+    likely = with_likely(df, [id_], ids, [F.col("_wanted_id")], "_likely")
+    keyed = likely.filter("_likely").withColumn("_own_key", key).withColumn("_own_id", id_)
+    found = keyed.join(ids, keyed["_own_id"].eqNullSafe(ids["_wanted_id"]) & (keyed["_own_key"] == ids["_wanted_key"]), how).select(*df.columns)
+    return found if how == "left_semi" else likely.filter("NOT _likely").select(*df.columns).unionByName(found)
 
 
 def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: list[str], how: str = "inner", least: int = 1000, parts: int = 50_000) -> DataFrame:
@@ -128,10 +130,10 @@ def with_likely(rows: DataFrame, keys: list[Column], wanted: DataFrame, wanted_k
     """
     bits = filter_bits(wanted.count(), 1 << 26)
     hashed = lambda own: F.pmod(F.xxhash64(*own), F.lit(bits))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("_bit", F.lit(64)).cast("int"))
-    words = wanted.select(hashed(wanted_keys).alias("_bit")).groupBy(F.expr("_bit div 64").alias("_word")).agg(F.bit_or(one).alias("_bits"))
-    marked_ = rows.withColumn("_bit", hashed(keys)).withColumn("_word", F.expr("_bit div 64")).join(F.broadcast(words), "_word", "left")
-    return marked_.withColumn(name, F.coalesce(F.getbit("_bits", F.pmod("_bit", F.lit(64)).cast("int")) == 1, F.lit(False))).drop("_bit", "_word", "_bits")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("_mark_bit", F.lit(64)).cast("int"))
+    words = wanted.select(hashed(wanted_keys).alias("_mark_bit")).groupBy(F.expr("_mark_bit div 64").alias("_mark_word")).agg(F.bit_or(one).alias("_mark_bits"))
+    both = rows.withColumn("_mark_bit", hashed(keys)).withColumn("_mark_word", F.expr("_mark_bit div 64")).join(F.broadcast(words), "_mark_word", "left")
+    return both.withColumn(name, F.coalesce(F.getbit("_mark_bits", F.pmod("_mark_bit", F.lit(64)).cast("int")) == 1, F.lit(False))).drop("_mark_bit", "_mark_word", "_mark_bits")
 
 
 def ascii_lower(column: Column) -> Column:
