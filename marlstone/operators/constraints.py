@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import short_key
 
+KEYS_A_MILLISECOND = 1 << 23  # four digits of base 62 hold that many, whatever the process
 BLOCK = 1 << 16  # ordinals that one task numbers together
 
 
@@ -67,7 +68,8 @@ def check_unique(new: DataFrame, old: DataFrame, column: str, nulls: bool = True
 
 
 def fill_short_keys(df: DataFrame, column: str, millis: Column, ordinal: str, process: int, attempt: int = 0) -> DataFrame:
-    """Gives a time-ordered key to rows whose ``column`` is null or empty; ``attempt`` salts another try."""
+    """Gives a time-ordered key to rows whose ``column`` is null or empty; ``attempt`` salts another try. After each
+    ``KEYS_A_MILLISECOND`` rows the time moves on by one, so that any number of rows have different keys."""
     salt = F.pmod(F.xxhash64(F.col(ordinal), F.lit(attempt)), F.lit(62)) if attempt else F.lit(0)
-    key = short_key(millis, F.col(ordinal), process, salt)
+    key = short_key(millis + F.expr(f"{ordinal} div {KEYS_A_MILLISECOND}"), F.col(ordinal) % KEYS_A_MILLISECOND, process, salt)
     return df.withColumn(column, F.when(F.col(column).isNull() | (F.col(column) == ""), key).otherwise(F.col(column)))

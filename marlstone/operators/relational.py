@@ -46,10 +46,10 @@ def by_key(df: DataFrame, key: str, value) -> DataFrame:
     return df.filter(F.col(key) == F.lit(value))
 
 
-def query(df: DataFrame, filters: Iterable[Filter | Column] = (), limit: int | None = None) -> DataFrame:
-    """Rows that pass all filters, the limit applying afterwards."""
+def query(df: DataFrame, filters: Iterable[Filter | Column] = (), limit: int | None = None, key: str | None = None) -> DataFrame:
+    """Rows that pass all filters; a limit applies afterwards, to their order by ``key``, else by the first column."""
     out = df.filter(all_of(filters))
-    return out if limit is None else out.limit(limit)
+    return out if limit is None else first_rows(out, limit, key or df.columns[0])
 
 
 @dataclass

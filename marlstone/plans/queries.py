@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,8 @@ from ..operators import changes
 from ..operators.constraints import assign_ids, duplicates, with_ordinal
 from ..operators.predicates import Filter, all_of, chain, predicate
 from ..operators.relational import by_key, first_rows, join_all, mean_of_all, ordered, page_rows, query, top, total
-from ..sources.files import block_ranges
+from ..sources.files import block_ranges, import_rows, read_csv, read_json, write_csv, write_json
+from ..sources.tables import Column, Database
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -410,7 +413,67 @@ def unique_violations(spark, d):
     return duplicates(table(spark, d, "customer"), "c_nationkey")
 
 
-@_register("SELECT 'nation' AS name, count(*) AS rows FROM nation UNION ALL SELECT 'region', count(*) FROM region")
+@contextmanager
+def _database(spark: SparkSession) -> Iterator[Database]:
+    name = f"catalogue_{uuid.uuid4().hex[:12]}"
+    try:
+        yield Database(spark, name)
+    finally:
+        spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """The few rows of ``df``, so that they outlive the tables that they come from."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+NATIONS = [Column("id", "INT", True, True), Column("name", unique=True), Column("region", "INT")]
+
+
+@_register("SELECT 'nations' AS \"table\", count(*) AS rows, 'id' AS primary_key, max(n_nationkey) + 3 AS next_id FROM nation UNION ALL SELECT 'regions', count(*), 'id', 1 FROM region")
 def show_tables(spark, d):
-    counts = [table(spark, d, n).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows")) for n in ("nation", "region")]
-    return counts[0].unionByName(counts[1])
+    with _database(spark) as db:
+        db.create_table("nations", NATIONS)
+        db.insert("nations", table(spark, d, "nation").selectExpr("n_nationkey + 1 AS id", "n_name AS name", "n_regionkey AS region").orderBy("id"))
+        db.insert("nations", [{"name": "ATLANTIS"}])
+        db.delete("nations", F.col("name") == "ATLANTIS")
+        db.create_table("regions", [Column("id", "INT", True), Column("name")])
+        db.load("regions", table(spark, d, "region").selectExpr("r_regionkey AS id", "r_name AS name"))
+        return _kept(db.show_tables().select("table", "rows", "primary_key", "next_id"))
+
+
+@_register(
+    "SELECT CAST(n_nationkey + 1 AS BIGINT) AS id, CASE WHEN n_regionkey = 2 THEN lower(n_name) ELSE n_name END AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation WHERE n_regionkey <> 1 "
+    "UNION ALL SELECT max(n_nationkey) + 2, 'ATLANTIS', 7 FROM nation UNION ALL SELECT max(n_nationkey) + 3, NULL, 7 FROM nation"
+)
+def table_changes(spark, d):
+    """Rows with generated ids, an update, a delete, and a version that is left and restored."""
+    with _database(spark) as db:
+        db.create_table("nations", NATIONS)
+        db.insert("nations", table(spark, d, "nation").orderBy("n_nationkey").selectExpr("n_name AS name", "n_regionkey AS region"))
+        db.insert("nations", [{"name": "ATLANTIS", "region": 7}, {"region": 7}])
+        db.update("nations", {"name": F.lower("name")}, F.col("region") == 2)
+        db.delete("nations", F.col("region") == 1)
+        version = db.definition("nations").version
+        db.delete("nations")
+        db.restore("nations", version)
+        return _kept(db.table("nations"))
+
+
+def _round_trip(spark: SparkSession, d: str, name: str) -> DataFrame:
+    source = table(spark, d, name)
+    with _database(spark) as db:
+        folder = spark.sql(f"DESCRIBE DATABASE {db.name}").filter("info_name = 'Location'").first()["info_value"]
+        write_csv(source, f"{folder}/csv")
+        write_json(source, f"{folder}/json")
+        from_csv, columns = read_csv(spark, f"{folder}/csv")
+        from_json, _ = read_json(spark, f"{folder}/json")
+        import_rows(db, "t", from_csv, columns)
+        both = db.table("t").withColumn("kind", F.lit("csv")).unionByName(from_json.withColumn("kind", F.lit("json")))
+        return _kept(both)
+
+
+@_register("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey, kind FROM nation CROSS JOIN (SELECT unnest(['csv', 'json']) AS kind)")
+def import_roundtrip(spark, d):
+    """Written as CSV and as JSON, and read back, the CSV through a table."""
+    return _round_trip(spark, d, "nation")

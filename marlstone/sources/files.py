@@ -1,4 +1,4 @@
-"""Imports of CSV and JSON with types from the first row, and exports."""
+"""Imports of CSV and JSON with types that all rows fit, and exports."""
 
 from __future__ import annotations
 
@@ -10,16 +10,19 @@ from pyspark.sql import types as T
 from .tables import Column, Database
 
 
-def _guess(value: str | None) -> str:
-    if value is None or value == "":
-        return "TEXT"
-    if value.lower() in ("true", "false"):
-        return "BOOLEAN"
-    try:
-        float(value)
-    except ValueError:
-        return "TEXT"
-    return "NUMBER" if any(ch in value for ch in ".eE") or len(value) > 18 else "INTEGER"
+#: Types in the order in which they are tried, and what a cell of each looks like.
+LOOKS = {
+    "BOOLEAN": r"(?i)^(true|false)$", "INTEGER": r"^[+-]?\d{1,18}$", "NUMBER": r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$",
+}
+
+
+def column_types(raw: DataFrame) -> list[str]:
+    """For each column of strings the first type that all of its cells have, blank ones aside; else, or where all are
+    blank, TEXT. All rows count, so that no cell is lost to a type that others have."""
+    cells = {n: F.trim(F.col(f"`{n}`")) for n in raw.columns}
+    checks = [F.coalesce(F.bool_and(F.when(c != "", c.rlike(look))), F.lit(False)).alias(f"{k}_{kind}") for k, c in enumerate(cells.values()) for kind, look in LOOKS.items()]
+    found = raw.agg(*checks).first()
+    return [next((kind for kind in LOOKS if found[f"{k}_{kind}"]), "TEXT") for k in range(len(raw.columns))]
 
 
 def _typed(name: str, kind: str) -> C:
@@ -29,12 +32,11 @@ def _typed(name: str, kind: str) -> C:
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[Column] | None = None) -> tuple[DataFrame, list[Column]]:
-    """Rows of CSV files with a header, quoted fields included, and their columns: types from the first row, the
+    """Rows of CSV files with a header, quoted fields included, and their columns: types that all rows fit, the
     first column as primary key. Blank lines are skipped, missing cells of text are empty."""
     raw = spark.read.csv(path, header=True, inferSchema=False, escape='"', mode="PERMISSIVE", nullValue="\x00", emptyValue="", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     if columns is None:
-        first = raw.first()
-        columns = [Column(n, _guess(first[n] if first else None), primary_key=k == 0) for k, n in enumerate(raw.columns)]
+        columns = [Column(n, kind, primary_key=k == 0) for k, (n, kind) in enumerate(zip(raw.columns, column_types(raw), strict=True))]
         columns[0] = Column(columns[0].name, columns[0].type, True, columns[0].type in ("INTEGER", "NUMBER"))
     filled = raw.select(*(F.coalesce(F.col(f"`{c.name}`"), F.lit("")).alias(c.name) for c in columns))
     return filled.select(*(_typed(c.name, c.type) for c in columns)), columns

@@ -2,7 +2,7 @@
 
 A table is a view over Parquet parts. A change writes new parts and then replaces the view, which is one step in the
 catalog: readers see the table before or after it. Inserts write only their own rows; updates and deletes write the
-table anew. Parts of earlier versions stay for :meth:`Database.restore` until :meth:`Database.optimize`. One writer at
+table anew. Parts of the last ``KEPT_VERSIONS`` versions stay for :meth:`Database.restore` until :meth:`Database.optimize`. One writer at
 a time is assumed. Any query is Spark SQL over the views.
 """
 
@@ -12,7 +12,7 @@ import json
 import re
 import uuid
 from collections.abc import Iterable
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 from typing import Any
 
 from pyspark.sql import Column as C
@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from ..operators import changes
 from ..operators.constraints import ConstraintError, assign_ids, check_unique, fill_short_keys, next_id_after, with_ordinal
 
+KEPT_VERSIONS = 10  # of a table, for restore
+MOST_PARTS = 32  # of a version; then an insert writes all of them as one
 NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 #: Declared types and what they are here.
 TYPES: dict[str, T.DataType] = (
@@ -57,6 +59,7 @@ class Definition:
     next_id: int
     version: int
     parts: list[dict]
+    marks: dict[str, int] = field(default_factory=dict)  # the last batch of each import that is in
 
     @property
     def key(self) -> str:
@@ -99,17 +102,20 @@ class Database:
         found = all_[-1] if version is None else next((x for x in all_ if x["version"] == version), None)
         if found is None:
             raise KeyError(f"{table} has no version {version}")
-        return Definition(table, [Column(**c) for c in found["columns"]], found["next_id"], found["version"], found["parts"])
+        return Definition(table, [Column(**c) for c in found["columns"]], found["next_id"], found["version"], found["parts"], found.get("marks", {}))
 
     def _publish(self, new: Definition, versions: list[dict]) -> None:
-        own = {"columns": [asdict(c) for c in new.columns], "next_id": new.next_id, "version": new.version, "parts": new.parts}
-        text = json.dumps([*versions, own]).replace("\\", "\\\\").replace("'", "\\'")
+        own = {"columns": [asdict(c) for c in new.columns], "next_id": new.next_id, "version": new.version, "parts": new.parts, "marks": new.marks}
+        versions, old = [*versions, own][-KEPT_VERSIONS:], versions[: max(0, len(versions) + 1 - KEPT_VERSIONS)]
+        text = json.dumps(versions).replace("\\", "\\\\").replace("'", "\\'")
         columns = {p["part"]: set(p["columns"]) for p in new.parts}
         selects = [
             "SELECT " + ", ".join(f"CAST({f'`{f.name}`' if f.name in columns[p['part']] else 'NULL'} AS {f.dataType.simpleString()}) AS `{f.name}`" for f in new.schema) + f" FROM {self.name}.{p['part']}"
             for p in new.parts
         ]
         self.spark.sql(f"CREATE OR REPLACE VIEW {self._full(new.name)} TBLPROPERTIES ('versions' = '{text}') AS {' UNION ALL '.join(selects)}")
+        for part in {p["part"] for v in old for p in v["parts"]} - {p["part"] for v in versions for p in v["parts"]}:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}.{part}")
 
     def _versions(self, table: str) -> list[dict]:
         return json.loads(self._properties(table)["versions"]) if self.exists(table) else []
@@ -164,47 +170,59 @@ class Database:
     def _result(self, affected: int, now: Definition) -> DataFrame:
         return self.spark.createDataFrame([(affected, now.name, now.next_id)], "affected_rows long, table string, next_id long")
 
-    def insert(self, table: str, rows: DataFrame | list[dict[str, Any]], millis: C | None = None) -> DataFrame:
+    def _checked(self, table: str, rows: DataFrame, old: DataFrame, columns: list[Column]) -> dict:
+        """A new part of ``rows`` whose keys, as they were written, are unique, also against ``old``."""
+        part = self._write(table, rows)
+        written = self.spark.table(f"{self.name}.{part['part']}")
+        try:
+            for c in columns:
+                if c.primary_key or c.unique or c.short_key:
+                    check_unique(written, old, c.name, nulls=not c.primary_key)
+        except ConstraintError:
+            self.spark.sql(f"DROP TABLE {self.name}.{part['part']}")
+            raise
+        return part
+
+    def insert(self, table: str, rows: DataFrame | list[dict[str, Any]], millis: C | None = None, mark: tuple[str, int] | None = None) -> DataFrame:
         """Adds rows, or none of them. Null primary keys of an auto-increment column get ids in the rows' order;
-        null or empty short-key columns get keys, with new salts up to ten times if one is taken."""
+        null or empty short-key columns get keys, with new salts up to ten times if one is taken. What was written
+        is checked, then published. ``mark`` is an import's name and batch number, published with the rows: a batch
+        that is in already adds nothing. After ``MOST_PARTS`` inserts all parts are written as one."""
         now = self.definition(table)
+        if mark and now.marks.get(mark[0], -1) >= mark[1]:
+            return self._result(0, now)
         if isinstance(rows, list):
             rows = self.spark.createDataFrame([tuple(r.get(f.name) for f in now.schema) for r in rows], now.schema)
         rows = changes.inserted(self.spark.createDataFrame([], now.schema), rows)
         old, next_id = self.table(table), now.next_id
-        rows = with_ordinal(rows).cache()
-        try:
-            key = next(c for c in now.columns if c.primary_key)
-            filled = assign_ids(rows, key.name, now.next_id, "_ordinal") if key.auto_increment else rows
-            millis = F.lit(None).cast("long") if millis is None else millis
-            stamp = F.coalesce(millis, F.unix_millis(F.current_timestamp()))
-            for attempt in range(10):
-                keyed = filled
-                for c in now.columns:
-                    if c.short_key:
-                        keyed = fill_short_keys(keyed, c.name, stamp, "_ordinal", self.process, attempt)
-                keyed = keyed.drop("_ordinal").cache()
-                try:
-                    for c in now.columns:
-                        if c.primary_key or c.unique or c.short_key:
-                            check_unique(keyed, old, c.name, nulls=not c.primary_key)
-                    break
-                except ConstraintError:
-                    keyed.unpersist()
-                    if attempt == 9 or not any(c.short_key for c in now.columns):
-                        raise
-            if key.auto_increment:
-                next_id = next_id_after(keyed, key.name, next_id)
-            part = self._write(table, keyed)
-        finally:
-            rows.unpersist()
-        new = Definition(table, now.columns, next_id, now.version + 1, [*now.parts, part])
+        rows = with_ordinal(rows)
+        key = next(c for c in now.columns if c.primary_key)
+        filled = assign_ids(rows, key.name, now.next_id, "_ordinal") if key.auto_increment else rows
+        stamp = F.coalesce(F.lit(None).cast("long") if millis is None else millis, F.unix_millis(F.current_timestamp()))
+        for attempt in range(10):
+            keyed = filled
+            for c in now.columns:
+                if c.short_key:
+                    keyed = fill_short_keys(keyed, c.name, stamp, "_ordinal", self.process, attempt)
+            try:
+                part = self._checked(table, keyed.drop("_ordinal"), old, now.columns)
+                break
+            except ConstraintError:
+                if attempt == 9 or not any(c.short_key for c in now.columns):
+                    raise
+        written = self.spark.table(f"{self.name}.{part['part']}")
+        if key.auto_increment:
+            next_id = next_id_after(written, key.name, next_id)
+        parts = [*now.parts, part] if len(now.parts) < MOST_PARTS else [self._write(table, old.unionByName(written))]
+        new = Definition(table, now.columns, next_id, now.version + 1, parts, now.marks | ({mark[0]: mark[1]} if mark else {}))
         self._publish(new, self._versions(table))
+        if part not in parts:
+            self.spark.sql(f"DROP TABLE {self.name}.{part['part']}")
         return self._result(part["rows"], new)
 
     def _replace(self, table: str, df: DataFrame, affected: int, next_id: int | None = None) -> DataFrame:
         now = self.definition(table)
-        new = Definition(table, now.columns, now.next_id if next_id is None else next_id, now.version + 1, [self._write(table, df)])
+        new = Definition(table, now.columns, now.next_id if next_id is None else next_id, now.version + 1, [self._write(table, df)], now.marks)
         self._publish(new, self._versions(table))
         return self._result(affected, new)
 
@@ -229,23 +247,28 @@ class Database:
         return self._replace(table, changes.deleted(old, where), gone)
 
     def load(self, table: str, rows: DataFrame, next_id: int = 1) -> DataFrame:
-        """Replaces all rows."""
-        new = changes.inserted(self.spark.createDataFrame([], self.definition(table).schema), rows)
-        return self._replace(table, new, new.count(), next_id)
+        """Replaces all rows, whose keys must be unique."""
+        now = self.definition(table)
+        none = self.spark.createDataFrame([], now.schema)
+        part = self._checked(table, changes.inserted(none, rows), none, now.columns)
+        new = Definition(table, now.columns, next_id, now.version + 1, [part], now.marks)
+        self._publish(new, self._versions(table))
+        return self._result(part["rows"], new)
 
     def alter_columns(self, table: str, columns: Iterable[Column]) -> None:
-        """Other columns: new ones are null in old rows, those left out are no longer seen."""
-        now, columns = self.definition(table), list(columns)
+        """Other columns, the table being written anew: new ones are null, those left out are gone."""
+        now, old, columns = self.definition(table), self.table(table), list(columns)
         if sum(c.primary_key for c in columns) != 1:
             raise ValueError("one primary key is needed")
-        self._publish(Definition(table, columns, now.next_id, now.version + 1, now.parts), self._versions(table))
+        rows = old.select(*((F.col(c.name) if c.name in old.columns else F.lit(None)).cast(c.spark_type).alias(c.name) for c in columns))
+        self._publish(Definition(table, columns, now.next_id, now.version + 1, [self._write(table, rows)], now.marks), self._versions(table))
 
     # versions
 
     def restore(self, table: str, version: int) -> None:
         """The table as it was; a new version."""
         old, now = self.definition(table, version), self.definition(table)
-        self._publish(Definition(table, old.columns, max(old.next_id, now.next_id), now.version + 1, old.parts), self._versions(table))
+        self._publish(Definition(table, old.columns, max(old.next_id, now.next_id), now.version + 1, old.parts, now.marks), self._versions(table))
 
     def damaged_parts(self, table: str, version: int | None = None) -> list[str]:
         """Parts whose rows or checksum differ from what was written."""
@@ -277,7 +300,7 @@ class Database:
         now, old = self.definition(table), {p["part"] for v in self._versions(table) for p in v["parts"]}
         rows = self.table(table)
         rows = (rows.repartitionByRange(partitions, now.key) if partitions else rows.repartitionByRange(now.key)).sortWithinPartitions(now.key)
-        new = Definition(table, now.columns, now.next_id, now.version + 1, [self._write(table, rows)])
+        new = Definition(table, now.columns, now.next_id, now.version + 1, [self._write(table, rows)], now.marks)
         self._publish(new, [])
         for part in old:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}.{part}")

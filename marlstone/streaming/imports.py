@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,7 +26,8 @@ def import_stream(db: Database, table: str, path: str, schema: T.StructType | st
     """Reads the files of ``path`` that earlier runs with this checkpoint haven't, in batches, and inserts each batch
     under the table's constraints. A batch that breaks one ends the run, as FAILED, and comes again next time.
 
-    A batch that was inserted just before a crash is recognised by its number and skipped."""
+    A batch's number is published together with its rows, so that one that was inserted just before a crash is
+    recognised and skipped."""
     job = job or ImportJob(table)
     spark = db.spark
     reader = spark.readStream.format(kind).schema(schema).option("header", True)
@@ -34,11 +35,7 @@ def import_stream(db: Database, table: str, path: str, schema: T.StructType | st
         reader = reader.option(k, v)
 
     def put(rows: DataFrame, batch: int) -> None:
-        marks = f"{checkpoint.rstrip('/')}/inserted"
-        done = _numbers(spark, marks)
-        if batch not in done:
-            job.rows += db.insert(table, rows).first()["affected_rows"]
-            spark.range(batch, batch + 1).write.mode("append").parquet(marks)
+        job.rows += db.insert(table, rows, mark=(checkpoint.rstrip("/"), batch)).first()["affected_rows"]
         job.batches += 1
 
     job.state = "PROCESSING"
@@ -51,12 +48,3 @@ def import_stream(db: Database, table: str, path: str, schema: T.StructType | st
         job.errors.append(str(error)[:500])
         raise
     return job
-
-
-def _numbers(spark: SparkSession, path: str) -> set[int]:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return {r[0] for r in spark.read.parquet(path).collect()}
-    except AnalysisException:  # nothing yet
-        return set()

@@ -103,3 +103,18 @@ def test_unique(spark):
     for new, old, nulls in ((a, b, True), (a, b.limit(0), False), (b.union(b), b.limit(0), True)):
         with pytest.raises(ConstraintError):
             check_unique(new, old, "x", nulls)
+
+
+def test_short_keys_of_any_number_of_rows(spark):
+    from marlstone.operators.constraints import KEYS_A_MILLISECOND, fill_short_keys
+
+    n = KEYS_A_MILLISECOND
+    rows = spark.createDataFrame([(k, None) for k in (*range(50), *range(n - 50, n + 50), 62**4, 62**4 + 4242, 2 * n, 9 * n + 1)], "o long, k string")
+    assert fill_short_keys(rows, "k", F.lit(1_767_225_600_000), "o", 4242).select("k").distinct().count() == rows.count()
+
+
+def test_a_limit_has_one_result(spark):
+    from marlstone.operators.relational import query
+
+    df = spark.range(100).repartition(7)
+    assert [r.id for r in query(df, [Filter("id", ">", 10)], 3).collect()] == [11, 12, 13]

@@ -67,6 +67,34 @@ def test_catalog(db):
     db.insert("orders", [{"id": 1}])
     db.alter_columns("orders", [Column("id", "INT", True), Column("note")])
     assert db.table("orders").first().asDict() == {"id": 1, "note": None}
+    db.update("orders", {"note": "seen"})
+    db.alter_columns("orders", [Column("id", "INT", True)])
+    db.alter_columns("orders", [Column("id", "INT", True), Column("note")])
+    assert db.table("orders").first().asDict() == {"id": 1, "note": None}
+
+
+def test_history_is_bounded(db, monkeypatch):
+    from marlstone.sources import tables
+
+    monkeypatch.setattr(tables, "MOST_PARTS", 3)
+    monkeypatch.setattr(tables, "KEPT_VERSIONS", 2)
+    db.create_table("h", [Column("id", "INT", True, True)])
+    for _ in range(5):
+        db.insert("h", [{}])
+    assert sorted(r.id for r in db.table("h").collect()) == [1, 2, 3, 4, 5] and len(db.definition("h").parts) <= 3
+    kept = {p["part"] for v in db._versions("h") for p in v["parts"]}
+    assert len(db._versions("h")) == 2 and {r.tableName for r in db.spark.sql(f"SHOW TABLES IN {db.name}").collect() if "__" in r.tableName} == kept
+    rows = db.spark.createDataFrame([(1,), (1,)], "id long")
+    with pytest.raises(ConstraintError):
+        db.load("h", rows)
+    assert db.load("h", rows.distinct()).first().affected_rows == 1
+
+
+def test_a_batch_is_inserted_once(db):
+    db.create_table("b", [Column("id", "INT", True, True)])
+    assert [db.insert("b", [{}], mark=("import", k)).first().affected_rows for k in (0, 0, 1, 1, 0)] == [1, 0, 1, 0, 0]
+    db.update("b", {}, None)
+    assert db.insert("b", [{}], mark=("import", 1)).first().affected_rows == 0 and db.table("b").count() == 2
 
 
 def test_damage_is_found_and_recovered(db, spark):
@@ -92,10 +120,10 @@ def test_csv(db, spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_bytes(b'id,name,price,ok\r\n1,"Smith, ""J""",2.5,true\r\n\r\n2,plain,x,false\r\n,short\r\n')
     rows, columns = read_csv(spark, str(path))
-    assert [c.type for c in columns] == ["INTEGER", "TEXT", "NUMBER", "BOOLEAN"] and columns[0].auto_increment
+    assert [c.type for c in columns] == ["INTEGER", "TEXT", "TEXT", "BOOLEAN"] and columns[0].auto_increment
     assert import_rows(db, "c", rows, columns).first().affected_rows == 3
     got = sorted(tuple(r) for r in db.table("c").collect())
-    assert got == [(1, 'Smith, "J"', 2.5, True), (2, "plain", None, False), (3, "short", None, None)]
+    assert got == [(1, 'Smith, "J"', "2.5", True), (2, "plain", "x", False), (3, "short", "", None)]
     import_rows(db, "c", rows.filter("id IS NULL"), columns, append=True)
     assert db.table("c").count() == 4
     write_csv(db.table("c"), str(tmp_path / "out"))
