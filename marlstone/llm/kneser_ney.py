@@ -121,9 +121,12 @@ def _distinct(row: dict, wanted: np.ndarray | None, order: int) -> tuple[np.ndar
     how often it occurs."""
     parts = []
     for mine, key, own, first in _parts(row, wanted, order):
-        keys, at, n = np.unique(key, return_index=True, return_counts=True)
-        if len(keys):
-            parts.append((keys, mine[np.searchsorted(first, at, "right") - 1], own[at], n))
+        by_key = np.argsort(key)
+        ranked = key[by_key]
+        new = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), ranked[1:] != ranked[:-1])))
+        at = by_key[new]
+        if len(key):
+            parts.append((ranked[new], mine[np.searchsorted(first, at, "right") - 1], own[at], np.diff(new, append=len(key))))
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, order), np.uint32), np.zeros(0, np.int64)
     keys, text, own, n = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -193,12 +196,13 @@ def estimate(counts: DataFrame, order: int = ORDER) -> dict[int, tuple[DataFrame
     all sharded by language and n-gram. Lower orders count the different characters before an n-gram. Discounts are
     Chen and Goodman's, from each order's counts of counts, or 1/2, 1 and 3/2 where there are too few.
     """
-    tables = {order: counts}
+    tables = {order: staged(counts, f"counts{order}")}
     for size in range(order - 1, 0, -1):
-        tables[size] = tables[size + 1].groupBy("lang", F.substring("gram", 2, size).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        lower = tables[size + 1].groupBy("lang", F.substring("gram", 2, size).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        tables[size] = staged(lower, f"counts{size}")
     out: dict[int, tuple[DataFrame, DataFrame]] = {}
     for size in range(1, order + 1):
-        own = staged(tables[size], f"counts{size}").withColumn("context", _start(F.col("gram"), size - 1))
+        own = tables[size].withColumn("context", _start(F.col("gram"), size - 1))
         some = [F.sum(F.when(F.col("n") == k, 1).otherwise(0)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
         d = own.groupBy("lang").agg(*some, (1 / (F.count(F.lit(1)) + 1)).alias("uniform"))
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
@@ -253,7 +257,8 @@ def perplexities(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {name: batch.column(c)[k].as_py() for c, name in enumerate(batch.schema.names) if name != "answers"}
-                keys = _distinct(row, None, order)[0]
+                found = [np.unique(key) for _, key, _, _ in _parts(row, None, order)]
+                keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
                 logs = np.full(len(keys), np.nan, np.float32)
                 if (answer := batch.column(batch.num_columns - 1)[k].values) is not None:
                     logs[answer.field("place").to_numpy(zero_copy_only=False)] = answer.field("log").to_numpy(zero_copy_only=False)
