@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -24,8 +25,9 @@ ORDER = 4  # characters of an n-gram
 BLOCK_BYTES = 16 << 20  # of text in a block; a longer text is one by itself
 LOW, HIGH = 0.01, 0.99  # quantiles of a language's trusted texts
 SPACE, ODD = 32, 0xFFFD  # white space of any kind and length; NUL
+LOG_BITS, LOG_UNIT = 31, 1 << 24  # a logarithm in an answer: up to 128, in steps of 2**-24
 _SPACES = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
-BLOCK = "block string, fold int, doc_ids array<long>, langs array<string>, sizes array<long>, texts binary"
+BLOCK = "block long, fold int, doc_ids array<long>, langs array<string>, sizes array<long>, texts binary"
 
 
 def text_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -41,7 +43,7 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> D
             ids, langs, sizes, texts = held[fold]
             held[fold] = ([], [], [], [])
             return pa.RecordBatch.from_arrays([
-                pa.array([f"{TaskContext.get().partitionId()}-{made}"]), pa.array([fold], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([langs], pa.list_(pa.string())),
+                pa.array([(TaskContext.get().partitionId() << 32) + made], pa.int64()), pa.array([fold], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([langs], pa.list_(pa.string())),
                 pa.array([sizes], pa.list_(pa.int64())), pa.array([zstandard.compress(b"".join(texts))], pa.binary()),
             ], ["block", "fold", "doc_ids", "langs", "sizes", "texts"])
 
@@ -121,12 +123,11 @@ def _distinct(row: dict, wanted: np.ndarray | None, order: int) -> tuple[np.ndar
     how often it occurs."""
     parts = []
     for mine, key, own, first in _parts(row, wanted, order):
-        by_key = np.argsort(key)
-        ranked = key[by_key]
-        new = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), ranked[1:] != ranked[:-1])))
-        at = by_key[new]
         if len(key):
-            parts.append((ranked[new], mine[np.searchsorted(first, at, "right") - 1], own[at], np.diff(new, append=len(key))))
+            number, keys = pd.factorize(key)  # hashed, not sorted
+            at = np.zeros(len(keys), np.int64)
+            at[number] = np.arange(len(key))
+            parts.append((keys, mine[np.searchsorted(first, at, "right") - 1], own[at], np.bincount(number)))
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, order), np.uint32), np.zeros(0, np.int64)
     keys, text, own, n = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -161,10 +162,10 @@ def asked_grams(blocks: DataFrame, order: int) -> DataFrame:
             for lo in range(0, len(text), 1 << 16):
                 mine = text[lo : lo + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([row["block"]] * len(mine), pa.string()), pa.array(np.arange(lo, lo + len(mine)), pa.int32()), langs.take(pa.array(mine)).dictionary_decode(), _strings(own[lo : lo + (1 << 16)]),
+                    pa.array(np.full(len(mine), row["block"], np.int64)), pa.array(np.arange(lo, lo + len(mine)), pa.int32()), langs.take(pa.array(mine)).dictionary_decode(), _strings(own[lo : lo + (1 << 16)]),
                 ], ["block", "place", "lang", "gram"])
 
-    return blocks.select("block", "fold", "langs", "sizes", "texts").mapInArrow(run, "block string, place int, lang string, gram string")
+    return blocks.select("block", "fold", "langs", "sizes", "texts").mapInArrow(run, "block long, place int, lang string, gram string")
 
 
 def gram_counts(blocks: DataFrame, learned: DataFrame, order: int) -> DataFrame:
@@ -245,26 +246,31 @@ def perplexities(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]
     """``doc_id, lang, symbols, perplexity`` of each document; null perplexity for a null language or one without a
     model, and for an empty text. Each block's n-grams are joined to the model and their logarithms sent back to it."""
     tried = asked_grams(blocks, order).join(model[order][0], ["lang", "gram"], "left")
+    # a place and the negative logarithm of its probability, as one number
+    log = F.least(F.round(F.log("p") * -LOG_UNIT).cast("long"), F.lit((1 << LOG_BITS) - 1))
+    answer = F.when(F.col("p").isNotNull(), F.col("place").cast("long") * (1 << LOG_BITS) + log)  # least() passes over nulls
     own = lambda name: F.when(F.col("p").isNull(), F.col(name)).alias(name)
-    tried = staged(tried.select("block", "place", own("lang"), own("gram"), "p"), "tried")
-    unseen = tried.filter("p IS NULL").select("block", "place", "lang", "gram")
+    tried = staged(tried.select("block", own("place"), own("lang"), own("gram"), answer.alias("answer")), "tried")
+    unseen = tried.filter("answer IS NULL").drop("answer")
     lower = resolved(unseen.select("lang", "gram").distinct(), model, order)
-    answers = tried.filter("p IS NOT NULL").select("block", "place", "p").unionByName(unseen.join(lower, ["lang", "gram"]).select("block", "place", "p"))
-    # a block's answers, at most one for each of its symbols
-    answers = answers.groupBy("block").agg(F.collect_list(F.struct("place", F.log("p").cast("float").alias("log"))).alias("answers"))
+    answers = tried.filter("answer IS NOT NULL").select("block", "answer").unionByName(unseen.join(lower, ["lang", "gram"]).select("block", answer.alias("answer")))
+    answers = answers.groupBy("block").agg(F.collect_list("answer").alias("answers"))  # at most one for each symbol of the block
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {name: batch.column(c)[k].as_py() for c, name in enumerate(batch.schema.names) if name != "answers"}
-                found = [np.unique(key) for _, key, _, _ in _parts(row, None, order)]
+                found = [pd.unique(key) for _, key, _, _ in _parts(row, None, order)]
                 keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-                logs = np.full(len(keys), np.nan, np.float32)
+                logs = np.full(len(keys), np.nan)
                 if (answer := batch.column(batch.num_columns - 1)[k].values) is not None:
-                    logs[answer.field("place").to_numpy(zero_copy_only=False)] = answer.field("log").to_numpy(zero_copy_only=False)
+                    answer = answer.to_numpy(zero_copy_only=False)
+                    logs[answer >> LOG_BITS] = (answer & ((1 << LOG_BITS) - 1)) / -LOG_UNIT
                 n, mean = np.zeros(len(row["sizes"]), np.int64), np.full(len(row["sizes"]), np.nan)
                 for mine, key, _, first in _parts(row, None, order):
-                    sums = np.concatenate(([0.0], np.cumsum(np.nan_to_num(own := logs[np.searchsorted(keys, key)]), dtype=np.float64)))
+                    number, different = pd.factorize(key)
+                    own = logs[np.searchsorted(keys, different)][number]
+                    sums = np.concatenate(([0.0], np.cumsum(np.nan_to_num(own))))
                     unknown = np.concatenate(([0], np.cumsum(np.isnan(own))))
                     n[mine] = np.diff(first)
                     fine = (unknown[first[1:]] == unknown[first[:-1]]) & (n[mine] > 0)
