@@ -25,8 +25,9 @@ ORDER = 4  # characters of an n-gram
 BLOCK_BYTES = 16 << 20  # of text in a block; a longer text is one by itself
 LOW, HIGH = 0.01, 0.99  # quantiles of a language's trusted texts
 SPACE, ODD = 32, 0xFFFD  # white space of any kind and length; NUL
-LOG_BITS, LOG_UNIT = 31, 1 << 24  # a logarithm in an answer: up to 128, in steps of 2**-24
-_SPACES = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+LOG_BITS, LOG_UNIT = 31, 1 << 24  # an answer ends with a negative logarithm: up to 128, in steps of 2**-24
+_IS_SPACE = np.zeros(0x3002, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
 BLOCK = "block long, fold int, doc_ids array<long>, langs array<string>, sizes array<long>, texts binary"
 
 
@@ -44,7 +45,7 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> D
             held[fold] = ([], [], [], [])
             return pa.RecordBatch.from_arrays([
                 pa.array([(TaskContext.get().partitionId() << 32) + made], pa.int64()), pa.array([fold], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([langs], pa.list_(pa.string())),
-                pa.array([sizes], pa.list_(pa.int64())), pa.array([zstandard.compress(b"".join(texts))], pa.binary()),
+                pa.array([sizes], pa.list_(pa.int64())), pa.array([zstandard.compress(b"".join(texts), 9)], pa.binary()),
             ], ["block", "fold", "doc_ids", "langs", "sizes", "texts"])
 
         for batch in batches:
@@ -74,27 +75,28 @@ def symbols(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[offsets]
     found = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).copy()
     found[found == 0] = ODD
-    found[np.isin(found, _SPACES)] = SPACE
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    found[_IS_SPACE[np.minimum(found, len(_IS_SPACE) - 1)]] = SPACE
     stay = found != SPACE
-    stay[1:] |= (found[:-1] != SPACE) | (doc[1:] != doc[:-1])
+    stay[1:] |= stay[:-1].copy()  # the first space of several
     stay[first[:-1][np.diff(first) > 0]] = True
     return found[stay], np.concatenate(([0], np.cumsum(stay)))[first]
 
 
-def grams(found: np.ndarray, first: np.ndarray, order: int) -> np.ndarray:
-    """The ``order`` symbols that end at each symbol, a column for each, those before a text being spaces."""
-    inside = np.arange(len(found)) - np.repeat(first[:-1], np.diff(first))
-    out = np.full((len(found), order), SPACE, np.uint32)
-    for back in range(order):
-        out[back:, order - 1 - back] = found[: len(found) - back]
-        out[inside < back, order - 1 - back] = SPACE
+def grams(found: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
+    """The ``order`` symbols that end at each symbol, an array for each, those before a text being spaces."""
+    out = []
+    for back in range(order - 1, -1, -1):
+        own = np.full(len(found), SPACE, np.uint32)
+        own[back:] = found[: max(0, len(found) - back)]
+        for k in range(back):
+            own[first[:-1][np.diff(first) > k] + k] = SPACE
+        out.append(own)
     return out
 
 
 def _parts(row: dict, wanted: np.ndarray | None, order: int) -> Iterator[tuple]:
     """Of a block's texts in parts of bounded size: indices of the texts, keys of language and n-gram for each symbol,
-    the n-grams, and where each text begins. ``wanted`` selects texts; those of null language are left out."""
+    the n-grams' symbols (:func:`grams`), and where each text begins. ``wanted`` selects texts; those of null language are left out."""
     sizes = np.array(row["sizes"], np.int64)
     raw = np.frombuffer(zstandard.decompress(row["texts"]), np.uint8) if sizes.sum() else np.zeros(0, np.uint8)
     edges = np.concatenate(([0], np.cumsum(sizes)))
@@ -113,7 +115,7 @@ def _parts(row: dict, wanted: np.ndarray | None, order: int) -> Iterator[tuple]:
             own = grams(found, first, order)
             key = np.repeat(number[mine], np.diff(first))
             for k in range(order):
-                key = key * np.uint64(0x9E3779B97F4A7C15) + own[:, k]
+                key = key * np.uint64(0x9E3779B97F4A7C15) + own[k]
             yield mine, mixed(key), own, first
         lo = hi
 
@@ -127,7 +129,7 @@ def _distinct(row: dict, wanted: np.ndarray | None, order: int) -> tuple[np.ndar
             number, keys = pd.factorize(key)  # hashed, not sorted
             at = np.zeros(len(keys), np.int64)
             at[number] = np.arange(len(key))
-            parts.append((keys, mine[np.searchsorted(first, at, "right") - 1], own[at], np.bincount(number)))
+            parts.append((keys, mine[np.searchsorted(first, at, "right") - 1], np.stack([x[at] for x in own], 1), np.bincount(number)))
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, order), np.uint32), np.zeros(0, np.int64)
     keys, text, own, n = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -246,29 +248,31 @@ def perplexities(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]
     """``doc_id, lang, symbols, perplexity`` of each document; null perplexity for a null language or one without a
     model, and for an empty text. Each block's n-grams are joined to the model and their logarithms sent back to it."""
     tried = asked_grams(blocks, order).join(model[order][0], ["lang", "gram"], "left")
-    # a place and the negative logarithm of its probability, as one number
-    log = F.least(F.round(F.log("p") * -LOG_UNIT).cast("long"), F.lit((1 << LOG_BITS) - 1))
-    answer = F.when(F.col("p").isNotNull(), F.col("place").cast("long") * (1 << LOG_BITS) + log)  # least() passes over nulls
     own = lambda name: F.when(F.col("p").isNull(), F.col(name)).alias(name)
-    tried = staged(tried.select("block", own("place"), own("lang"), own("gram"), answer.alias("answer")), "tried")
-    unseen = tried.filter("answer IS NULL").drop("answer")
+    log = F.round(F.log("p") * -LOG_UNIT).cast("long")
+    log = F.when(log < 1 << LOG_BITS, log).when(log.isNotNull(), (1 << LOG_BITS) - 1).cast("int").alias("log")
+    tried = staged(tried.select("block", "place", own("lang"), own("gram"), log), "tried")
+    unseen = tried.filter("log IS NULL").drop("log")
     lower = resolved(unseen.select("lang", "gram").distinct(), model, order)
-    answers = tried.filter("answer IS NOT NULL").select("block", "answer").unionByName(unseen.join(lower, ["lang", "gram"]).select("block", answer.alias("answer")))
+    answers = tried.filter("log IS NOT NULL").select("block", "place", "log").unionByName(unseen.join(lower, ["lang", "gram"]).select("block", "place", log))
+    answers = answers.select("block", (F.col("place").cast("long") * (1 << LOG_BITS) + F.col("log")).alias("answer"))
     answers = answers.groupBy("block").agg(F.collect_list("answer").alias("answers"))  # at most one for each symbol of the block
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {name: batch.column(c)[k].as_py() for c, name in enumerate(batch.schema.names) if name != "answers"}
-                found = [pd.unique(key) for _, key, _, _ in _parts(row, None, order)]
-                keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+                parts = []
+                for mine, key, _, first in _parts(row, None, order):
+                    number, different = pd.factorize(key)
+                    parts.append((mine, first, number.astype(np.int32), different))
+                keys = np.unique(np.concatenate([x[3] for x in parts])) if parts else np.zeros(0, np.uint64)
                 logs = np.full(len(keys), np.nan)
                 if (answer := batch.column(batch.num_columns - 1)[k].values) is not None:
                     answer = answer.to_numpy(zero_copy_only=False)
                     logs[answer >> LOG_BITS] = (answer & ((1 << LOG_BITS) - 1)) / -LOG_UNIT
                 n, mean = np.zeros(len(row["sizes"]), np.int64), np.full(len(row["sizes"]), np.nan)
-                for mine, key, _, first in _parts(row, None, order):
-                    number, different = pd.factorize(key)
+                for mine, first, number, different in parts:
                     own = logs[np.searchsorted(keys, different)][number]
                     sums = np.concatenate(([0.0], np.cumsum(np.nan_to_num(own))))
                     unknown = np.concatenate(([0], np.cumsum(np.isnan(own))))
