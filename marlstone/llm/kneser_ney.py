@@ -23,6 +23,7 @@ from .words import chunks, mixed, text_bytes
 
 ORDER = 4  # characters of an n-gram
 BLOCK_BYTES = 16 << 20  # of text in a block; a longer text is one by itself
+PART_BYTES = 1 << 19  # of text that are looked at at a time, or one longer text
 LOW, HIGH = 0.01, 0.99  # quantiles of a language's trusted texts
 SPACE, ODD = 32, 0xFFFD  # white space of any kind and length; NUL
 LOG_BITS, LOG_UNIT = 31, 1 << 24  # an answer ends with a negative logarithm: up to 128, in steps of 2**-24
@@ -36,16 +37,19 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> D
     ``fold``, 0 or 1 by a hash of the id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, held = 0, [([], [], [], []), ([], [], [], [])]
+        def empty() -> tuple:
+            return [], [], [], [], zstandard.ZstdCompressor(level=9).compressobj()
+
+        made, held = 0, [empty(), empty()]
 
         def block(fold: int) -> pa.RecordBatch:
             nonlocal made
             made += 1
-            ids, langs, sizes, texts = held[fold]
-            held[fold] = ([], [], [], [])
+            ids, langs, sizes, texts, packer = held[fold]
+            held[fold] = empty()
             return pa.RecordBatch.from_arrays([
                 pa.array([(TaskContext.get().partitionId() << 32) + made], pa.int64()), pa.array([fold], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([langs], pa.list_(pa.string())),
-                pa.array([sizes], pa.list_(pa.int64())), pa.array([zstandard.compress(b"".join(texts), 9)], pa.binary()),
+                pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(texts) + packer.flush()], pa.binary()),
             ], ["block", "fold", "doc_ids", "langs", "sizes", "texts"])
 
         for batch in batches:
@@ -53,13 +57,13 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> D
                 own = batch.filter(pc.equal(batch.column(3), fold))
                 for lo, hi in chunks(own.column(2)):
                     raw, offsets = text_bytes(own.column(2).slice(lo, hi - lo))
-                    if held[fold][2] and sum(map(len, held[fold][3])) + len(raw) > BLOCK_BYTES:
+                    if held[fold][2] and sum(held[fold][2]) + len(raw) > BLOCK_BYTES:
                         yield block(fold)
-                    ids, langs, sizes, texts = held[fold]
+                    ids, langs, sizes, texts, packer = held[fold]
                     ids += own.column(0).slice(lo, hi - lo).to_pylist()
                     langs += own.column(1).slice(lo, hi - lo).to_pylist()
                     sizes += np.diff(offsets).tolist()
-                    texts.append(raw.tobytes())
+                    texts.append(packer.compress(raw.tobytes()))
         for fold in (0, 1):
             if held[fold][2]:
                 yield block(fold)
@@ -98,7 +102,7 @@ def _parts(row: dict, wanted: np.ndarray | None, order: int) -> Iterator[tuple]:
     """Of a block's texts in parts of bounded size: indices of the texts, keys of language and n-gram for each symbol,
     the n-grams' symbols (:func:`grams`), and where each text begins. ``wanted`` selects texts; those of null language are left out."""
     sizes = np.array(row["sizes"], np.int64)
-    raw = np.frombuffer(zstandard.decompress(row["texts"]), np.uint8) if sizes.sum() else np.zeros(0, np.uint8)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompressobj().decompress(row["texts"]), np.uint8) if sizes.sum() else np.zeros(0, np.uint8)
     edges = np.concatenate(([0], np.cumsum(sizes)))
     known = np.array([x is not None for x in row["langs"]], bool)
     if wanted is not None:
@@ -107,7 +111,7 @@ def _parts(row: dict, wanted: np.ndarray | None, order: int) -> Iterator[tuple]:
     number = np.array([languages.get(x, 0) for x in row["langs"]], np.uint64)
     lo = 0
     while lo < len(sizes):
-        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + (1 << 20), "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + PART_BYTES, "right")) - 1)
         mine = lo + np.flatnonzero(known[lo:hi])
         if len(mine):
             inside = np.repeat(known[lo:hi], sizes[lo:hi])
@@ -265,7 +269,7 @@ def perplexities(blocks: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]
                 parts = []
                 for mine, key, _, first in _parts(row, None, order):
                     number, different = pd.factorize(key)
-                    parts.append((mine, first, number.astype(np.int32), different))
+                    parts.append((mine, first, number.astype(np.min_scalar_type(len(different))), different))
                 keys = np.unique(np.concatenate([x[3] for x in parts])) if parts else np.zeros(0, np.uint64)
                 logs = np.full(len(keys), np.nan)
                 if (answer := batch.column(batch.num_columns - 1)[k].values) is not None:
