@@ -17,8 +17,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 3  # a pair at the threshold meets in a band with probability 0.9998
 RAREST = 1e-3  # share of texts; a shingle in fewer weighs as one in so many
-CANDIDATES = 1 << 22  # bits of the bitmap of shingles that may be in more
-HELD = 1 << 21  # shingles that a task counts at a time
+CANDIDATES = 1 << 22  # counters of hashed shingles in a task, and bits of the bitmap of those that may be in more
+HELD = 1 << 21  # marked shingles that a task merges at a time
 PIVOTS = 6  # of a bucket, before texts are compared with all that may be alike
 COUNTERS = 1 << 20  # for the order of shingles from rare to frequent
 
@@ -75,43 +75,47 @@ def inverse_frequencies(docs: DataFrame, text_col: str = "text", shingle: int =
     that share of them: so two texts' weights depend on how common their shingles are, not on the table's size.
 
     Frequencies are exact, over all rows. A shingle that is common among all texts is common among those of some
-    part of them. So tasks first find the shingles that reach ``rarest`` of the texts they hold at a time, whose
-    hashes mark a bitmap; then marked shingles are counted over all texts, each task merging its own. At most
+    task. So tasks first count their shingles by hash, in a fixed number of counters; those that reach ``rarest`` of
+    all the task's texts mark a bitmap. Then marked shingles are counted over all texts, each task merging its own. At most
     (mean distinct shingles of a text) / ``rarest`` can be common, which bounds what comes back to the driver
     and is broadcast, at any size of the table.
     """
     texts = docs.select(F.col(text_col).alias("text"))
     total = docs.count()
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
-        held, size, n = [], 0, 0
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
         for batch in batches:
             for lo, hi in _parts(batch.column(0)):
                 _, keys, _ = shingles(find_words(batch.column(0).slice(lo, hi - lo)), shingle)
-                held.append(keys)
-                size, n = size + len(keys), n + hi - lo
-                if size >= HELD:
-                    own, held = np.concatenate(held), []
-                    yield own, n
-                    size, n = 0, 0
-        if held:
-            yield np.concatenate(held), n
+                yield keys, hi - lo
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, n in parts(batches):
-            keys.sort()
-            more = max(0, int(np.ceil(rarest * n)) - 1)  # of the same, next to each other
-            found = keys[: len(keys) - more][keys[more:] == keys[: len(keys) - more]]
-            yield pa.RecordBatch.from_arrays([pa.array(_bucket(np.unique(found), CANDIDATES))], ["bit"])
+        # over the whole task: in a last part of few texts, whatever occurs once would seem common
+        seen, n = np.zeros(CANDIDATES, np.int32), 0
+        for keys, more in pieces(batches):
+            np.add.at(seen, _bucket(keys, CANDIDATES), 1)
+            n += more
+        least = max(1, int(np.ceil(rarest * n * (1 - 1e-9))))
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen >= least))], ["bit"])
 
     # where a table has many small files, a task reads several, so that few texts don't make much look common
     wide = texts.coalesce(max(1, int(total * rarest / 4)))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wide.mapInArrow(local, "bit long")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, _ in parts(batches):
-            found, times = np.unique(keys[marked(shared.value, _bucket(keys, CANDIDATES))], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(times.astype(np.int64))], ["key", "n"])
+        def merged(held: list[np.ndarray]) -> pa.RecordBatch:
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(times.astype(np.int64))], ["key", "n"])
+
+        held, size = [], 0
+        for keys, _ in pieces(batches):
+            held.append(keys[marked(shared.value, _bucket(keys, CANDIDATES))])
+            size += len(held[-1])
+            if size >= HELD:
+                yield merged(held)
+                held, size = [], 0
+        if held:
+            yield merged(held)
 
     counted = texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= rarest * total).toArrow()
     keys = counted["key"].to_numpy().astype(np.uint64)
