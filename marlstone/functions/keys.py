@@ -11,33 +11,42 @@ TIME_WIDTH, TAIL_WIDTH = 9, 4
 _LONG_DIGITS = 11  # 62**11 > 2**63
 
 
+def _digit(number: Column, place: int) -> Column:
+    # from the number itself, so that an expression grows with the digits and not with their square
+    return F.substring(F.lit(ALPHABET), (F.call_function("div", number.cast("long"), F.lit(62**place).cast("long")) % 62 + 1).cast("int"), F.lit(1))
+
+
 def encode_base62(number: Column) -> Column:
     """A non-negative long as Base62 without leading zeros; null for null."""
-    # integer division in steps keeps all 63 bits
-    digits, rest = [], number
-    for _ in range(_LONG_DIGITS):
-        digits.append(F.substring(F.lit(ALPHABET), (rest % 62 + 1).cast("int"), F.lit(1)))
-        rest = F.call_function("div", rest.cast("long"), F.lit(62).cast("long"))
-    return F.regexp_replace(F.concat(*reversed(digits)), "^0+(?=.)", "")
+    return F.concat(F.ltrim(F.concat(*(_digit(number, k) for k in range(_LONG_DIGITS - 1, 0, -1))), F.lit("0")), _digit(number, 0))
+
+
+# Checks are added as 0 to what they check: outside of a condition, an expression that is used several times is computed
+# once, and a row's code stays small enough for the JVM to compile. Functions that take a lambda aren't compiled at all.
+
+
+def _zero_unless(wrong: Column, message: Column) -> Column:
+    return F.when(wrong, F.raise_error(message).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def decode_base62(text: Column) -> Column:
-    """The long that a Base62 string stands for; an error for other characters, null for null."""
-    valid = F.when(text.rlike("^[0-9A-Za-z]+$") | text.isNull(), text).otherwise(F.raise_error(F.concat(F.lit("not Base62: "), text)).cast("string"))
-    digits = F.split(valid, "")
-    return F.aggregate(F.filter(digits, lambda d: d != ""), F.lit(0).cast("long"), lambda a, d: a * 62 + (F.position(d, F.lit(ALPHABET)).cast("long") - 1))
+    """The long that a Base62 string stands for; an error for other characters and for more than a long, null for null."""
+    digits = F.lpad(F.ltrim(text, F.lit("0")), _LONG_DIGITS + 1, "0")  # a longer number overflows in these already
+    number = _zero_unless(~text.rlike(r"\A[0-9A-Za-z]+\z"), F.concat(F.lit("not Base62: "), text))
+    for k in range(1, _LONG_DIGITS + 2):
+        number = number * 62 + (F.position(F.substring(digits, k, 1), F.lit(ALPHABET)).cast("long") - 1)
+    return number
 
 
 def short_key(millis: Column, counter: Column, process: int = 4242, salt: Column | None = None) -> Column:
     """A 13-character key: nine digits of the time in milliseconds, four of (counter XOR process) plus a salt."""
     tail = (counter.cast("long").bitwiseAND(F.lit(0xFFFFFF)).bitwiseXOR(F.lit(process & 0xFFFF))) + (F.lit(0) if salt is None else salt)
-    return F.concat(F.lpad(encode_base62(millis.cast("long")), TIME_WIDTH, "0"), F.lpad(F.right(encode_base62(tail), F.lit(TAIL_WIDTH)), TAIL_WIDTH, "0"))
+    return F.concat(F.lpad(encode_base62(millis.cast("long")), TIME_WIDTH, "0"), *(_digit(tail, k) for k in range(TAIL_WIDTH - 1, -1, -1)))
 
 
 def key_time(key: Column) -> Column:
     """The time of a short key, as a timestamp; an error for keys under nine characters."""
-    long_enough = F.when((F.length(key) >= TIME_WIDTH) | key.isNull(), F.substring(key, 1, TIME_WIDTH)).otherwise(F.raise_error(F.lit("the key is too short")).cast("string"))
-    return F.timestamp_millis(decode_base62(long_enough))
+    return F.timestamp_millis(_zero_unless(F.length(key) < TIME_WIDTH, F.lit("the key is too short")) + decode_base62(F.substring(key, 1, TIME_WIDTH)))
 
 
 def crc32_hex(text: Column) -> Column:

@@ -38,6 +38,22 @@ def test_short_keys_sort_by_time(spark):
         spark.range(1).select(key_time(F.lit("abc"))).collect()
 
 
+def test_short_keys_are_compiled(spark):
+    """Beyond 8000 bytes the JVM interprets a method; a function that takes a lambda keeps the whole projection out."""
+    df = spark.range(10).select(key_time(short_key(F.lit(1_767_225_600_000) + F.col("id") * 977, F.col("id"))).alias("t"))
+    parts = df._jdf.queryExecution().debug().codegenToSeq()
+    assert parts.size() == 1 and "Project" in parts.apply(0)._1() and 0 < parts.apply(0)._3().maxMethodCodeSize() < 8000
+
+
+def test_base62_of_nulls_zeros_and_long_strings(spark):
+    df = spark.createDataFrame([(None,), ("0",), ("0" * 40,), ("0" * 30 + "Z",)], "e string")
+    assert [r[0] for r in df.select(decode_base62(F.col("e"))).collect()] == [None, 0, 0, 35]
+    assert spark.range(1).select(encode_base62(F.lit(None).cast("long")), key_time(F.lit(None).cast("string"))).first()[:] == (None, None)
+    for wrong in ("", "ab\n", "1" * 12, "0" + "z" * 11, "10" + "0" * 30):
+        with pytest.raises(Exception, match="not Base62|overflow"):
+            spark.range(1).select(decode_base62(F.lit(wrong))).collect()
+
+
 def test_loose_numbers(spark):
     df = spark.createDataFrame([("",), (None,), ("true",), (" 2.5 ",), ("x",), ("false",)], "v string")
     assert [r[0] for r in df.select(number_of(F.col("v"))).collect()] == [0.0, 0.0, 1.0, 2.5, None, 0.0]
