@@ -18,7 +18,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 3  # a pair at the threshold meets in a band with probability 0.9998
 RAREST = 1e-3  # share of texts; a shingle in fewer weighs as one in so many
 CANDIDATES = 1 << 22  # counters of hashed shingles in a task, and bits of the bitmap of those that may be in more
-HELD = 1 << 21  # marked shingles that a task merges at a time
+PART_BYTES = 1 << 18  # of text worked on at once, so that tasks' arrays stay small
+TOLD = 0.75  # of the share that makes a shingle common
+HELD = 1 << 19  # marked shingles that a task merges at a time
 PIVOTS = 6  # of a bucket, before texts are compared with all that may be alike
 COUNTERS = 1 << 20  # for the order of shingles from rare to frequent
 
@@ -48,7 +50,7 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    for lo, hi in chunks(texts):
+    for lo, hi in chunks(texts, PART_BYTES):
         for a in range(lo, hi, 1 << 15):
             yield a, min(hi, a + (1 << 15))
 
@@ -74,9 +76,11 @@ def inverse_frequencies(docs: DataFrame, text_col: str = "text", shingle: int =
     """log(1 + texts / texts with the shingle), where a shingle in less than ``rarest`` of all texts counts as one in
     that share of them: so two texts' weights depend on how common their shingles are, not on the table's size.
 
-    Frequencies are exact, over all rows. A shingle that is common among all texts is common among those of some
-    task. So tasks first count their shingles by hash, in a fixed number of counters; those that reach ``rarest`` of
-    all the task's texts mark a bitmap. Then marked shingles are counted over all texts, each task merging its own. At most
+    Frequencies are exact, over all rows. Tasks first count their shingles by hash, in a fixed number of counters, and tell
+    of those that reach ``TOLD`` of the share ``rarest`` of their texts, and by how much. What isn't told of is less than that
+    in each task, so a counter may only reach the share of all texts if what is told sums to (1 - ``TOLD``) of it or
+    more; a task of few texts thus can't make all of its own look common. Such counters mark a bitmap. Then
+    marked shingles are counted over all texts, each task merging its own. At most
     (mean distinct shingles of a text) / ``rarest`` can be common, which bounds what comes back to the driver
     and is broadcast, at any size of the table.
     """
@@ -90,17 +94,18 @@ def inverse_frequencies(docs: DataFrame, text_col: str = "text", shingle: int =
                 yield keys, hi - lo
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # over the whole task: in a last part of few texts, whatever occurs once would seem common
         seen, n = np.zeros(CANDIDATES, np.int32), 0
         for keys, more in pieces(batches):
             np.add.at(seen, _bucket(keys, CANDIDATES), 1)
             n += more
-        least = max(1, int(np.ceil(rarest * n * (1 - 1e-9))))
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen >= least))], ["bit"])
+        told = TOLD * rarest * n
+        at = np.flatnonzero(seen >= max(1, told * (1 - 1e-9)))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at] - told)], ["bit", "above"])
 
     # where a table has many small files, a task reads several, so that few texts don't make much look common
-    wide = texts.coalesce(max(1, int(total * rarest / 4)))
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wide.mapInArrow(local, "bit long")))
+    wide = texts.coalesce(max(1, int(total * rarest / 8)))
+    told = wide.mapInArrow(local, "bit long, above double").groupBy("bit").agg(F.sum("above").alias("above"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(told.filter(F.col("above") >= (1 - TOLD) * rarest * total * (1 - 1e-6)).select("bit")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def merged(held: list[np.ndarray]) -> pa.RecordBatch:

@@ -67,15 +67,20 @@ def test_near(docs, none, clash):
     assert {k: r.class_id for k, r in by_id(near_dedup.near_duplicates(clash)).items()} == {1: 1, 2: 1, 3: 3}
 
 
-def test_near_frequencies_look_only_at_shingles_that_may_be_common(spark, monkeypatch):
-    """Also where the last shingles that a task holds at a time are of few texts."""
+@pytest.mark.parametrize("sizes", [[3000], [2900, 60, 30, 10]])
+def test_near_frequencies_look_only_at_shingles_that_may_be_common(spark, monkeypatch, sizes):
+    """Also where a task, or the last part of what it holds, has few texts."""
     rng = np.random.default_rng(8)
     own = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 30)) for _ in range(3000)]
     texts = [f"{t} one phrase that some share" if k % 500 == 0 else t for k, t in enumerate(own)]
-    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    parts = [spark.createDataFrame([(t,) for t in own], "text string").coalesce(1) for own in np.split(np.array(texts, object), np.cumsum(sizes)[:-1])]
+    docs = parts[0]
+    for part in parts[1:]:
+        docs = docs.union(part)
     real, looked_at = near_dedup.bitmap_of, []
     monkeypatch.setattr(near_dedup, "HELD", 20_000)
     monkeypatch.setattr(near_dedup, "bitmap_of", lambda bit: looked_at.append(bit.count()) or real(bit))
+    monkeypatch.setattr(type(docs), "coalesce", lambda self, n: self)
     weights = near_dedup.inverse_frequencies(docs)
     assert len(weights.keys) == 1 and np.allclose(weights.values, np.log1p(3000 / 6)) and looked_at[0] < 100
 
