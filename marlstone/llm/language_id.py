@@ -11,13 +11,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .words import CHUNK_BYTES, LOWER, chunks, text_bytes
 
 ORDERS = (1, 2, 3)
 DIMENSIONS = 1 << 15
 ROWS_PER_LANGUAGE = 2000  # labelled rows that are learned from, for each language, about
 MOST_LANGUAGES = 200  # that are learned, those of most labelled rows
-TEXTS_AT_ONCE = 64  # whose counts, DIMENSIONS each, are held at a time
+TEXTS_AT_ONCE = 16  # whose counts, DIMENSIONS each, are held at a time
 AMBIGUOUS = 0.2  # between the scores of the best and the second language
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -120,12 +121,14 @@ def train(
     are weighted by the accuracy, for each language, of classifiers that three quarters of the sample have trained, on
     the fourth. None if no row is labelled.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
     most = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
     share = {r["lang"]: min(1.0, rows_per_language / r["n"]) for r in most.collect()}  # at most most_languages rows
     if not share:
         return None
-    shares = labelled.sparkSession.createDataFrame(list(share.items()), "lang string, share double")
+    # as an Arrow table: a list of rows would start Python workers of another kind beside those of the stages
+    shares = labelled.sparkSession.createDataFrame(pa.table({"lang": pa.array(share, pa.string()), "share": pa.array(share.values(), pa.float64())}))
     part = (F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(1 << 30)) + 0.5) / (1 << 30)
     fourth = F.pmod(F.xxhash64(F.lit(10), "id"), F.lit(4)) == 0
     sample = rows.join(F.broadcast(shares), "lang").filter(part < F.col("share")).select("lang", "text", fourth.alias("fourth"))
@@ -186,6 +189,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     language first by name is taken, with equal scores, so that the text is ambiguous. Repeated rows get the same
     result each; a null id is kept; an empty table gives no rows; whole texts are read, however long.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,13 +215,16 @@ def _judged(texts: pa.Array, model: Model | None, ambiguous: float) -> tuple[np.
 def rows_with_language(docs: DataFrame, model: Model | None, text_col: str = "text", ambiguous: float = AMBIGUOUS) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is told without ambiguity. Rows are filtered where they are
     read; without a model none is told."""
+    small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            told = np.zeros(batch.num_rows, bool)
             for lo, hi in _parts(batch.column(at)):
                 names, _, unsure = _judged(batch.column(at).slice(lo, hi - lo), shared.value, ambiguous)
-                yield batch.slice(lo, hi - lo).filter(pa.array((names != UNKNOWN) & ~unsure))
+                told[lo:hi] = (names != UNKNOWN) & ~unsure
+            yield batch.filter(pa.array(told))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bit_of, bitmap_of, filter_bits, marked, matched_rows, staged, text_key
+from .shared import bit_of, bitmap_of, filter_bits, marked, matched_rows, small_batches, staged, text_key
 from .words import Words, chunks, find_words, mixed, run_hashes
 
 SHINGLE = 5
@@ -359,6 +359,7 @@ def near_duplicates(
     rows that repeat both are kept or dropped together. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs, text_col, shingle))
     signed = staged(signatures(docs, idf, id_col, text_col, shingle, bands, rows), "signatures")
     texts = signed.filter("d1 IS NOT NULL AND doc_id IS NOT NULL")

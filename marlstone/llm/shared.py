@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+BATCH_BYTES = 2 << 20  # of rows that go to a Python worker at once; a longer row goes by itself
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS  # that running totals are spread over, at any size
 
@@ -56,6 +57,12 @@ def staged_by(df: DataFrame, name: str, column: str) -> DataFrame:
     return spark.table(table)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python workers in Arrow batches of about ``BATCH_BYTES``, in this session. By default they
+    are of up to 10,000 rows or 64 MB, whole row groups of texts, and each task holds two or three of them on either side."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have in any case."""
     taken = {c.lower() for c in df.columns}

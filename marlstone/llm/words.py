@@ -37,7 +37,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0 to n-1 of an odd base modulo 2**64, and their inverses."""
     if len(_powers[0]) < n:
-        n2 = max(n, CHUNK_BYTES + 4096)
+        n2 = max(n + n // 4, 1 << 14)
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             run = np.full(n2, base, np.uint64)
             run[0] = 1

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm import decontaminate, exact_dedup, kneser_ney, language_id, license_scan, near_dedup, packing, secrets, sharding, warc
 
@@ -85,6 +88,42 @@ def test_near_frequencies_look_only_at_shingles_that_may_be_common(spark, monkey
     assert len(weights.keys) == 1 and np.allclose(weights.values, np.log1p(3000 / 6)) and looked_at[0] < 100
 
 
+def test_workers_hold_little_text_at_once(spark, tmp_path, monkeypatch):
+    """Whatever a table's row groups are, texts come to workers in batches of about ``BATCH_BYTES``."""
+    seen, real = str(tmp_path), type(spark.range(1)).mapInArrow
+
+    def watched(df, run, schema, *args):
+        def noted(batches):
+            def each():
+                for batch in batches:
+                    with open(f"{seen}/{batch.nbytes}", "w"):
+                        yield batch
+
+            return run(each())
+
+        return real(df, noted, schema, *args)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", watched)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    wide = spark.range(0, 1500, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("some words "), F.col("id").cast("string")), 500).alias("text"), F.lit("en").alias("lang"))
+    most = 4 << 20  # twice ``BATCH_BYTES``
+    for stage in (near_dedup.drop_near_copies, lambda docs: language_id.rows_with_language(docs, language_id.train(docs))):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        assert stage(wide).count() > 0
+        sizes = [int(x) for x in os.listdir(seen)]
+        assert max(sizes) <= most and min(sizes) < most
+
+
+def test_language_counts_take_little_memory():
+    texts = pa.array([f"some words of text {k}" for k in range(300)])
+    tracemalloc.start()
+    for lo, hi in language_id._parts(texts):
+        language_id.features(texts.slice(lo, hi - lo), language_id.DIMENSIONS)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16e6
+
+
 def test_near_group_whose_members_differ_among_themselves(spark):
     """A hub with many edited copies, some beyond the threshold: classes as by all pairs."""
     from test_contracts import near_classes
